@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayside.operators.export import delivery_text
@@ -13,12 +13,6 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 DELIVERY_SEPARATOR = ";"
 
 
-def is_finished(spark: SparkSession, path: str) -> bool:
-    """Whether a write to this folder was committed."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
-
-
 def write_hourly_csv(totals: DataFrame, path: str) -> int:
     """Export in bucket order; every part file starts with the header, and the
     files in name order hold the rows in order.  Without rows there is no header
