@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Passage times are zone-less UTC; a UTC session keeps every cast between
 # TIMESTAMP and TIMESTAMP_NTZ a no-op on the wall clock.
@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Wide class expressions make methods the JIT compiler refuses beyond this
+    # size; smaller ones are compiled and run faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -37,12 +40,11 @@ def build_session(app_name: str = "wayside", master: str | None = None, **conf)
     return configure(builder.getOrCreate())
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    The base is ``spark.checkpoint.dir``.  Where that is unset, only a local
-    session may fall back to a temporary folder: on a cluster it would be a
-    different disk on every machine.
+    Where that is unset, only a local session may fall back to a temporary
+    folder: on a cluster it would be a different disk on every machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -50,4 +52,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="wayside-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/wayside/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder name under the shared folder."""
+    return f"{shared_folder(spark)}/wayside/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The finished rows, read back from the shared folder: they outlive any
+    executor, and their number can be asked without computing them again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
