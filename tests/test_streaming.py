@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import json
+import time
+from datetime import datetime, timedelta
+
+from tests.test_ingest import FLAT, ID, NOW
+from wayside.sources.passages import read_passages
+from wayside.sources.payloads import stream_payloads
+from wayside.streaming.ingest import start_ingest
+from wayside.streaming.windows import drop_repeats, latest_counts, start_counts, window_counts
+
+
+def payload_file(folder, name, *payloads):
+    with open(f"{folder}/{name}", "w") as out:
+        out.write("\n".join(json.dumps(p) for p in payloads))
+
+
+def test_payload_stream(spark, folder):
+    import os
+
+    os.mkdir(folder + "/in")
+    paths = [f"{folder}/{name}" for name in ("passages", "invalid", "duplicates")]
+
+    def run():
+        lines = stream_payloads(spark, folder + "/in", files_per_trigger=1)
+        start_ingest(lines, "v1", *paths, folder + "/checkpoint", now=NOW).awaitTermination()
+        return [spark.read.parquet(path).count() for path in paths]
+
+    second = {**FLAT, "id": ID[:-1] + "2"}
+    payload_file(folder + "/in", "a.json", FLAT, {**FLAT, "kentekenLand": "too long"})
+    assert run() == [1, 1, 0]
+    payload_file(folder + "/in", "b.json", second, FLAT)
+    assert run() == [2, 1, 1]
+    assert run() == [2, 1, 1]  # nothing new
+    stored = read_passages(spark, paths[0]).collect()
+    assert {r.passage_id for r in stored} == {FLAT["id"], second["id"]}
+
+
+START = datetime(2024, 3, 12, 10)
+
+
+def write_batches(make_passages, folder, *batches):
+    """One file per batch, in order."""
+    for rows in batches:
+        make_passages(*rows).coalesce(1).write.mode("append").parquet(folder + "/in")
+        time.sleep(1.1)  # the file source orders by modification time
+
+
+def stream(spark, make_passages, folder):
+    schema = make_passages({}).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(folder + "/in")
+
+
+def test_counts_over_batches_match_a_batch_job(spark, make_passages, folder):
+    batches = [
+        [{"passage_at": START + timedelta(minutes=25 * n)} for n in range(8)],
+        [{"passage_at": START + timedelta(hours=30, minutes=7 * n)} for n in range(8)],
+        [{"passage_at": START + timedelta(minutes=11 * n)} for n in range(8)],  # late, in time
+    ]
+    write_batches(make_passages, folder, *batches)
+    counts = window_counts(stream(spark, make_passages, folder))
+    start_counts(counts, folder + "/out", folder + "/checkpoint").awaitTermination()
+    want = {}
+    for row in sum(batches, []):
+        hour = row["passage_at"].replace(minute=0)
+        want[hour] = want.get(hour, 0) + 1
+    found = latest_counts(spark, folder + "/out").collect()
+    assert {r.window_start: r["count"] for r in found} == want
+    assert spark.read.parquet(folder + "/out").select("batch").distinct().count() >= 3
+
+
+def test_rows_later_than_the_watermark_are_left_to_the_refresh(spark, make_passages, folder):
+    write_batches(
+        make_passages,
+        folder,
+        [{"passage_at": START}],
+        [{"passage_at": START + timedelta(days=10)}],
+        [{"passage_at": START + timedelta(days=10, hours=1)}],
+        [{"passage_at": START}],
+    )
+    counts = window_counts(stream(spark, make_passages, folder))
+    start_counts(counts, folder + "/out", folder + "/checkpoint").awaitTermination()
+    found = {r.window_start: r["count"] for r in latest_counts(spark, folder + "/out").collect()}
+    assert found[START] == 1 and len(found) == 3
+
+
+def test_repeats_over_batches(spark, make_passages, folder):
+    row = {"passage_id": ID, "passage_at": START}
+    write_batches(
+        make_passages, folder, [row, row], [row, {**row, "volgnummer": 2}], [{**row, "passage_at": NOW}]
+    )
+    (
+        drop_repeats(stream(spark, make_passages, folder))
+        .writeStream.format("parquet")
+        .option("path", folder + "/out")
+        .option("checkpointLocation", folder + "/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    found = spark.read.parquet(folder + "/out").collect()
+    assert sorted((r.volgnummer, r.passage_at) for r in found) == [(1, START), (1, NOW), (2, START)]
