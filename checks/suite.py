@@ -487,7 +487,8 @@ def new_passages(spark, sf_dir):
     path = scratch_path(spark, "history")
     everything = passages(spark, sf_dir, fuels_as_text=False)
     append_passages(everything.filter("kenteken_land = 'NL'"), path)
-    found = dedup.not_stored(everything, read_passages(spark, path))
+    history = dedup.same_days(read_passages(spark, path), everything)
+    found = dedup.not_stored(everything, history)
     return found.select("passage_id", "volgnummer", "passage_at", "camera_id")
 
 

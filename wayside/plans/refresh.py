@@ -122,8 +122,13 @@ def replace_days(
     """
     spark = result.sparkSession
     seen = Observation()
+    # The rows of one day are already spread by their keys; several days are
+    # gathered first, so that each gets few files.
+    rows = laid_out(result, day_column, *sort) if first < last else result.sortWithinPartitions(
+        day_column, *sort
+    )
     (
-        laid_out(result, day_column, *sort)
+        rows
         .observe(seen, F.collect_set(day_column).alias("days"), F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
