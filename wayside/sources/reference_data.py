@@ -32,8 +32,10 @@ YES = "ja"
 
 def _read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """CSV with a header in any column order, every value as text and ``''`` as
-    NULL."""
-    found = spark.read.option("header", True).option("escape", '"').csv(path)
+    NULL.  Quoted values may hold commas, quotes and line breaks."""
+    found = (
+        spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    )
     missing = set(columns) - set(found.columns)
     if missing:
         raise ValueError(f"columns missing from {path}: {sorted(missing)}")
