@@ -14,6 +14,7 @@ from wayside.sources.passages import append_passages, read_passages
 
 def plan(df) -> str:
     df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "200")
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
