@@ -1,4 +1,4 @@
-"""Command line for scheduled runs: ``spark-submit … -m wayside.jobs <job> …``.
+"""Command line for scheduled runs: ``python -m wayside.jobs <job> …``.
 
 Every path is a folder all executors can reach.  ``--today`` and ``--now``
 default to the clock; give them to repeat a run.
