@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayside.llm import grace_dedup
+from wayside.llm import compression_quality, decontaminate, grace_dedup
 from wayside.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,54 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return compression_quality.score_quality(docs, labels)
+
+
+# Words of documents and items, the windows of items, and where they occur.
+_DECONTAMINATE_SQL = r"""
+    with bodies as (
+        select doc_id, coalesce("text", '') as body from documents
+    ), d as (
+        select doc_id, regexp_extract_all(
+            translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from bodies
+    ), b as (
+        select item_id, regexp_extract_all(
+            translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from benchmark
+    ), sized as (
+        select item_id, w, least(13, len(w)) as m from b where len(w) > 0
+    ), windows as (
+        select distinct item_id, m, array_to_string(w[i:i + m - 1], ' ') as g
+        from sized, unnest(range(1, len(w) - m + 2)) as t(i)
+    ), sizes as (
+        select distinct m from windows
+    ), grams as (
+        select doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') as g
+        from d, sizes, unnest(range(1, len(w) - m + 2)) as t(i)
+    ), hits as (
+        select doc_id, i, m, item_id from grams join windows using (m, g)
+    ), hit as (
+        select doc_id, count(distinct p) as n from hits, unnest(range(i, i + m)) as t(p) group by 1
+    ), quoted as (
+        select doc_id, count(*) as n, string_agg(item, ',' order by item) as ids
+        from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by 1
+    )
+    select d.doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit,
+           coalesce(quoted.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+           coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
+    from d left join hit using (doc_id) left join quoted using (doc_id)
+"""
+
+
+@query("op8_decontaminate", _DECONTAMINATE_SQL)
+def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items)
