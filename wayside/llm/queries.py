@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayside.llm import compression_quality, decontaminate, grace_dedup
+from wayside.llm import compression_quality, decontaminate, grace_dedup, packing, token_counts
 from wayside.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +91,15 @@ _DECONTAMINATE_SQL = r"""
 def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, items)
+
+
+@query("op10_token_counts")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_packing")
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
