@@ -12,7 +12,6 @@ more block is one more pass over the documents.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -7,7 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayside.llm import compression_quality, decontaminate, grace_dedup, packing, token_counts
+from wayside.llm import (
+    compression_quality,
+    decontaminate,
+    grace_dedup,
+    packing,
+    suffix_dedup,
+    token_counts,
+)
 from wayside.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +110,8 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_suffix_dedup")
+def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
