@@ -154,6 +154,16 @@ class PreTokenizer:
         return b"".join([token.id.to_bytes(4, "little") for token in tokens])
 
 
+_TAKEN_APART: dict[str, PreTokenizer] = {}
+
+
+def pretokenizer(path: str) -> PreTokenizer:
+    """One for a worker process: loading a vocabulary takes longer than a small task."""
+    if path not in _TAKEN_APART:
+        _TAKEN_APART[path] = PreTokenizer(path)
+    return _TAKEN_APART[path]
+
+
 class Encoder:
     """Ids of texts for a vocabulary whose pre-tokens carry their leading space.
 

@@ -11,6 +11,7 @@ from wayside.llm import (
     compression_quality,
     decontaminate,
     grace_dedup,
+    lm_scoring,
     packing,
     suffix_dedup,
     token_counts,
@@ -115,3 +116,8 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op1_lm_scoring")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayside.llm.common import map_batches, stored
-from wayside.llm.pretokens import PreTokenizer, is_plain
+from wayside.llm.pretokens import PreTokenizer, is_plain, pretokenizer
 
 # Pre-tokens in the broadcast table: some 20 bytes each, whatever the corpus.
 FREQUENT = 200_000
@@ -48,7 +48,7 @@ def frequencies(pre: PreTokenizer, text: str) -> tuple[int, Counter, Counter]:
 
 def _vocabulary_task(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokenizer(path)
+        pre = pretokenizer(path)
         chunks, pretokens = Counter(), Counter()
         for batch in batches:
             for text in _texts(batch, "text"):
@@ -84,7 +84,7 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def _pieces_task(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokenizer(path)
+        pre = pretokenizer(path)
         for batch in batches:
             pieces = [pre.count(p) for p in batch.column("pretoken").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -117,7 +117,7 @@ def frequent_step(pieces: DataFrame, most: int) -> int:
 
 def _documents_task(path: str, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, known = PreTokenizer(path), dict(zip(*_columns(frequent.value)))
+        pre, known = pretokenizer(path), dict(zip(*_columns(frequent.value)))
         memo: dict[str, tuple[int, tuple]] = {}
 
         def of_chunk(chunk: str) -> tuple[int, tuple]:
