@@ -12,6 +12,7 @@ from wayside.llm import (
     decontaminate,
     grace_dedup,
     lm_scoring,
+    minhash_join,
     packing,
     suffix_dedup,
     token_counts,
@@ -121,3 +122,38 @@ def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_lm_scoring")
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_near_dedup",
+    r"""
+    with recursive d as (
+        select doc_id, regexp_extract_all(
+            translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') as w
+        from documents
+    ), shingles as (
+        select distinct doc_id, array_to_string(w[i:i + least(2, len(w)) - 1], ' ') as s
+        from d, unnest(range(1, len(w) - least(2, len(w)) + 2)) as t(i)
+        where len(w) > 0
+    ), sizes as (
+        select doc_id, count(*) as n from shingles group by 1
+    ), links as (
+        select a.doc_id as x, b.doc_id as y
+        from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+        join sizes m on m.doc_id = a.doc_id join sizes n on n.doc_id = b.doc_id
+        group by a.doc_id, b.doc_id, m.n, n.n
+        having 100 * count(*) >= 80 * (m.n + n.n - count(*))
+    ), reach(x, y) as (
+        select doc_id, doc_id from d
+        union
+        select r.x, l.y from reach r join links l on r.y = l.x
+    ), roots as (
+        select x as doc_id, min(y) as component_id from reach group by 1
+    )
+    select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+    from d join roots using (doc_id) left join sizes using (doc_id)
+    """,
+)
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.find_near_copies(table(spark, sf_dir, "documents"))
