@@ -12,14 +12,15 @@ them.  Rounds at growing lengths:
 * The whole stretch, as the seed's rank paired with the ranks that cover the stretch.
   Equal stretches are past the threshold: all but the first are repeats.
 * 100 bytes.  Only the first of the stretches that share a seed but differ are left,
-  at the edges of repeats.  Their windows are ranked by the pairs of 64-byte ranks at
-  offsets 0 and 36, and sorted; all but the first of equal pairs are repeats.
+  at the edges of repeats.  They meet again with their bytes; their windows are ranked
+  by the pairs of 64-byte ranks at offsets 0 and 36, and sorted; all but the first of
+  equal pairs are repeats.
 
 Ranks of up to 64 bytes are 64-bit hashes made by doubling; what is compared is
 always at least two of them.  Each task sorts its own rows first and hands on the
 first of equals, so a passage that a third of all documents share reaches the
 shuffle once per task.  A seed with many different stretches in a task is dealt out
-by stretch and not by seed.
+by stretch and not by seed, and later by the rank pairs of its windows.
 """
 
 from __future__ import annotations
@@ -52,9 +53,16 @@ MANY_STRETCHES = 16
 # The smallest long stands for a null id, as nulls sort first.
 NULL_ID = -(1 << 63)
 
+# Rows of the last round that a task sorts at once, if they end with a rank.
+CHUNK_ROWS = 20_000
+
 # What the rows of the first round are.
 OPEN, SPREAD, REPEAT, MARKER = range(4)
 
+# What is known of a packed run of windows: nothing, that they are repeats, or that
+# their seed is dealt out by window.
+REPEATED, SPREAD_OUT = 1, 2
+
 # Odd multipliers of the doubling steps.
 _FACTORS = [
     np.uint64(x)
@@ -101,13 +109,17 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def seed_places(seeds: np.ndarray) -> np.ndarray:
+    """Where the seed of every window is; the leftmost of equal ranks is taken."""
+    keys = (seeds & ~_POSITION) | np.arange(len(seeds), dtype=np.uint64)
+    return (sliding_minimum(keys, SEEDS) & _POSITION).astype(np.int64)
+
+
 def stretches(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """(seed, stretch, first window, number of windows) of a segment."""
     named = ranks(data, HALF)
     seeds, halves = named[SEED], named[HALF]
-    # The seed's rank with its position below: the leftmost of equal ranks is taken.
-    keys = (seeds & ~_POSITION) | np.arange(len(seeds), dtype=np.uint64)
-    place = (sliding_minimum(keys, SEEDS) & _POSITION).astype(np.int64)
+    place = seed_places(seeds)
     change = np.flatnonzero(place[1:] != place[:-1]) + 1
     first = np.concatenate(([0], change))
     windows = np.diff(np.concatenate((first, [len(place)])))
@@ -126,13 +138,13 @@ def segments(size: int) -> Iterator[tuple[int, int]]:
         yield start, min(size, start + SEGMENT + WINDOW - 1)
 
 
-def pack(first: np.ndarray, windows: np.ndarray, repeat: np.ndarray | int) -> np.ndarray:
-    """First window, number of windows, and whether they are known repeats."""
-    return (first << 21) | (windows << 1) | repeat
+def pack(first: np.ndarray, windows: np.ndarray, flags: int) -> np.ndarray:
+    """First window, number of windows, and what is known of them."""
+    return (first << 22) | (windows << 2) | flags
 
 
 def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return packed >> 21, (packed >> 1) & ((1 << 20) - 1), packed & 1
+    return packed >> 22, (packed >> 2) & ((1 << 20) - 1), packed & 3
 
 
 ROWS = "deal long, seed long, stretch long, doc_id long, tag int, packed long, state byte"
@@ -204,7 +216,7 @@ def merged_runs(place, ids, tags, first, windows) -> tuple[np.ndarray, ...]:
     return ids[at][back], tags[at][back], begin, np.minimum(limit, last[back] - begin)
 
 
-def _first_round(held: _Held) -> Iterator[pa.RecordBatch]:
+def _first_round(held: _Held, many_stretches: int) -> Iterator[pa.RecordBatch]:
     if not held.owner:
         return
     place, ids, tags, seed, stretch, first, windows = held.columns()
@@ -220,7 +232,7 @@ def _first_round(held: _Held) -> Iterator[pa.RecordBatch]:
     later = ~new & ~tie
     # Different stretches of each seed.
     seed_of = np.cumsum(new_seed[new]) - 1
-    many = np.bincount(seed_of) > MANY_STRETCHES if len(seed_of) else np.empty(0, bool)
+    many = np.bincount(seed_of) > many_stretches if len(seed_of) else np.empty(0, bool)
     keep = np.flatnonzero(new)
     spread = many[seed_of] if len(seed_of) else np.empty(0, bool)
     names = seed[keep].view(np.int64)
@@ -240,7 +252,7 @@ def _first_round(held: _Held) -> Iterator[pa.RecordBatch]:
     ids, tags, first, windows = merged_runs(
         place[later], ids[later], tags[later], first[later], windows[later]
     )
-    packed = pack(first, windows, 1)
+    packed = pack(first, windows, REPEATED)
     unique = mixed(mixed(ids.astype(np.uint64)) + packed.astype(np.uint64)).view(np.int64)
     state = np.full(len(ids), REPEAT)
     yield from _batches(_KINDS, _NAMES, unique, unique, unique, ids, tags, packed, state)
@@ -253,58 +265,77 @@ def _batches(kinds, names, *columns) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _seed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = _Held(4)
-    for batch in batches:
-        for doc_id, tag, text in zip(
-            batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-        ):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            held.document(doc_id, tag, len(data))
-            for start, end in segments(len(data)):
-                seed, stretch, first, windows = stretches(data[start:end])
-                held.add(seed, stretch, first + start, windows)
-                held.bytes += end - start
-                if held.bytes >= 2 * HELD_BYTES:
-                    yield from _first_round(held)
-                    held = _Held(4)
-                    held.document(doc_id, tag, 0)
-    yield from _first_round(held)
+def _seed_task(many_stretches: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(4)
+        for batch in batches:
+            for doc_id, tag, text in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            ):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                held.document(doc_id, tag, 0)
+                for start, end in segments(len(data)):
+                    seed, stretch, first, windows = stretches(data[start:end])
+                    held.add(seed, stretch, first + start, windows)
+                    held.bytes += end - start
+                    if held.bytes >= HELD_BYTES:
+                        yield from _first_round(held, many_stretches)
+                        held = _Held(4)
+                        held.document(doc_id, tag, 0)
+        yield from _first_round(held, many_stretches)
+
+    return run
 
 
-PAIRS = "left_rank long, right_rank long, doc_id long, tag int, packed long"
-_PAIR_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-_PAIR_NAMES = ["left_rank", "right_rank", "doc_id", "tag", "packed"]
+PAIRS = "left_rank long, right_rank long, doc_id long, tag int, packed long, context binary"
+_PAIR_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+_PAIR_NAMES = ["left_rank", "right_rank", "doc_id", "tag", "packed", "context"]
+
+
+def _pair_batches(left, right, ids, tags, packed, contexts=None) -> Iterator[pa.RecordBatch]:
+    columns = [left, right, ids, tags, packed]
+    for at in range(0, len(left), 20_000):
+        part = slice(at, at + 20_000)
+        size = len(left[part])
+        last = pa.nulls(size, pa.binary()) if contexts is None else pa.array(contexts[part], pa.binary())
+        arrays = [pa.array(c[part]).cast(kind) for c, kind in zip(columns, _PAIR_KINDS)]
+        yield pa.RecordBatch.from_arrays([*arrays, last], _PAIR_NAMES)
 
 
 def _known(ids, tags, first, windows) -> Iterator[pa.RecordBatch]:
-    packed = pack(first, windows, 1)
+    packed = pack(first, windows, REPEATED)
     unique = mixed(mixed(ids.astype(np.uint64)) + packed.astype(np.uint64)).view(np.int64)
-    yield from _batches(_PAIR_KINDS, _PAIR_NAMES, unique, tags, ids, tags, packed)
+    yield from _pair_batches(unique, tags, ids, tags, packed)
 
 
-def _last_round(held: _Held) -> Iterator[pa.RecordBatch]:
-    if not held.owner:
-        return
-    place, ids, tags, left, right, first = held.columns()
+def _sorted_windows(held: _Held) -> tuple[np.ndarray, ...]:
+    """Columns in order of the rank pairs, which rows are first of their pair, and
+    which come later than that first one."""
+    columns = held.columns()
+    place, _, _, left, right, first = columns
     order = np.lexsort((first, place, right, left))
-    place, ids, tags, left, right, first = (c[order] for c in (place, ids, tags, left, right, first))
+    place, ids, tags, left, right, first = (c[order] for c in columns)
     new = _starts(left, right)
-    leader = np.flatnonzero(new)[np.cumsum(new) - 1]
+    leader = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
     later = ~new & ~((place == place[leader]) & (first == first[leader]))
-    yield from _batches(
-        _PAIR_KINDS,
-        _PAIR_NAMES,
-        left[new].view(np.int64),
-        right[new].view(np.int64),
-        ids[new],
-        tags[new],
-        pack(first[new], np.ones(new.sum(), np.int64), 0),
-    )
+    return place, ids, tags, left, right, first, new, later
+
+
+def _spread_rows(held: _Held) -> Iterator[pa.RecordBatch]:
+    if not held.owner:
+        return
+    place, ids, tags, left, right, first, new, later = _sorted_windows(held)
+    packed = pack(first[new], np.ones(new.sum(), np.int64), 0)
+    yield from _pair_batches(left[new].view(np.int64), right[new].view(np.int64), ids[new], tags[new], packed)
     one = np.ones(later.sum(), np.int64)
     yield from _known(*merged_runs(place[later], ids[later], tags[later], first[later], one))
 
 
+def _each_window(first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    back = np.repeat(first, windows)
+    return back + np.arange(len(back)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+
 def _edge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = _Held(3)
     for batch in batches:
@@ -315,32 +346,109 @@ def _edge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column("marks"),
         ):
             data = np.frombuffer(text.as_buffer(), np.uint8)
-            first, windows, repeat = unpack(np.array(marks.values.to_numpy(zero_copy_only=False)))
-            known = repeat == 1
+            first, windows, flags = unpack(np.array(marks.values.to_numpy(zero_copy_only=False)))
+            known, spread = flags == REPEATED, flags == SPREAD_OUT
             if known.any():
                 same = np.zeros(known.sum(), np.int64)
                 yield from _known(
                     *merged_runs(same, same + doc_id, same + tag, first[known], windows[known])
                 )
-            first, windows = first[~known], windows[~known]
+            if known.all():
+                continue
             held.document(doc_id, tag, 0)
-            for start, end in segments(len(data)) if len(first) else ():
-                here = (first >= start) & (first < start + SEGMENT)
+            for start, end in segments(len(data)):
+                here = ~known & (first >= start) & (first < start + SEGMENT)
                 if not here.any():
                     continue
-                halves = ranks(data[start:end], HALF)[HALF]
-                back = np.repeat(first[here], windows[here])
-                number = np.arange(len(back)) - np.repeat(
-                    np.cumsum(windows[here]) - windows[here], windows[here]
-                )
-                at = back + number
+                named = ranks(data[start:end], HALF)
+                some = here & ~spread
+                if some.any():
+                    seed = named[SEED][seed_places(named[SEED])[first[some] - start]].view(np.int64)
+                    same = np.zeros(some.sum(), np.int64)
+                    packed = pack(first[some], windows[some], 0)
+                    contexts = [
+                        data[a : a + n + WINDOW - 1].tobytes()
+                        for a, n in zip(first[some].tolist(), windows[some].tolist())
+                    ]
+                    yield from _pair_batches(seed, same, same + doc_id, same + tag, packed, contexts)
+                some = here & spread
+                at = _each_window(first[some], windows[some])
+                halves = named[HALF]
                 held.add(halves[at - start], halves[at - start + WINDOW - HALF], at)
                 held.bytes += 64 * len(at)
                 if held.bytes >= 2 * HELD_BYTES:
-                    yield from _last_round(held)
+                    yield from _spread_rows(held)
                     held = _Held(3)
                     held.document(doc_id, tag, 0)
-    yield from _last_round(held)
+    yield from _spread_rows(held)
+
+
+MARKS = "doc_id long, tag int, packed long"
+
+
+def _resolve_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Known repeats, and the windows that are not the first of their pair.
+
+    Rows come in order of the rank pairs or seeds; equal windows have one of these, so
+    they are in one chunk.
+    """
+    for chunk in _chunks(batches):
+        ids = chunk.column("doc_id").to_numpy()
+        tags = chunk.column("tag").to_numpy().astype(np.int64)
+        packed = chunk.column("packed").to_numpy()
+        first, windows, flags = unpack(packed)
+        known = flags == REPEATED
+        yield from _batches(_PAIR_KINDS[2:5], _PAIR_NAMES[2:5], ids[known], tags[known], packed[known])
+        held = _Held(3)
+        held.ids, held.tags = ids.tolist(), tags.tolist()
+        context = np.array(chunk.column("context").is_valid())
+        single = np.flatnonzero(~known & ~context)
+        if len(single):
+            held.owner.append(single)
+            columns = (
+                chunk.column("left_rank").to_numpy()[single].view(np.uint64),
+                chunk.column("right_rank").to_numpy()[single].view(np.uint64),
+                first[single],
+            )
+            for part, column in zip(held.parts, columns):
+                part.append(column)
+        rows = np.flatnonzero(context)
+        if len(rows):
+            texts = chunk.column("context").take(pa.array(rows)).to_pylist()
+            halves = ranks(np.frombuffer(b"".join(texts), np.uint8), HALF)[HALF]
+            begin = np.cumsum([0, *map(len, texts)])[:-1]
+            at = _each_window(begin, windows[rows])
+            held.owner.append(np.repeat(rows, windows[rows]))
+            where = _each_window(first[rows], windows[rows])
+            for part, column in zip(held.parts, (halves[at], halves[at + WINDOW - HALF], where)):
+                part.append(column)
+        if held.owner:
+            place, ids, tags, _, _, first, _, later = _sorted_windows(held)
+            one = np.ones(later.sum(), np.int64)
+            ids, tags, first, windows = merged_runs(
+                place[later], ids[later], tags[later], first[later], one
+            )
+            packed = pack(first, windows, REPEATED)
+            yield from _batches(_PAIR_KINDS[2:5], _PAIR_NAMES[2:5], ids, tags, packed)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in chunks that end where the left rank changes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < CHUNK_ROWS:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        left = table.column("left_rank").to_numpy()
+        cut = int(np.searchsorted(left, left[-1]))
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+            rest = table.slice(cut).combine_chunks()
+            held, size = rest.to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def removed_ranges(marks: np.ndarray) -> np.ndarray:
@@ -381,7 +489,9 @@ def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, text: str = "text", many_stretches: int = MANY_STRETCHES
+) -> DataFrame:
     """(doc_id, kept, n_bytes, removed): the bytes that stay, and the removed ranges.
 
     ``removed`` holds start and end of every maximal range.  Order is by ``doc_id``,
@@ -395,7 +505,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         F.hash(text).alias("tag"),
         text_bytes(text).alias("content"),
     )
-    seeds = map_batches(keyed, _seed_task, ROWS)
+    seeds = map_batches(keyed, _seed_task(many_stretches), ROWS)
     # The first window is in the high bits of ``packed``.  Both windows have one sort.
     order = ["doc_id", "tag", "packed"]
     of_stretch = Window.partitionBy("deal", "seed", "stretch").orderBy(*order)
@@ -408,21 +518,21 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         seeds.repartition("deal")
         .withColumn("place", F.rank().over(of_stretch))
         .withColumn("differ", F.min("stretch").over(of_seed) != F.max("stretch").over(of_seed))
+        .withColumn("marked", F.max(F.col("state") == MARKER).over(of_seed))
     )
     repeat = (F.col("state") == REPEAT) | (F.col("place") > 1)
-    undecided = (F.col("state") == SPREAD) | F.col("differ")
+    spread = (F.col("state") == SPREAD) | F.col("marked")
+    flags = F.when(repeat, REPEATED).when(spread, SPREAD_OUT).otherwise(0).cast("long")
     marks = (
-        sorted_pairs.filter((F.col("state") != MARKER) & (repeat | undecided))
-        .withColumn("packed", F.col("packed").bitwiseOR(F.when(repeat, 1).otherwise(0).cast("long")))
+        sorted_pairs.filter((F.col("state") != MARKER) & (repeat | spread | F.col("differ")))
+        .withColumn("packed", F.col("packed").bitwiseOR(flags))
         .groupBy("doc_id", "tag")
         .agg(F.collect_list("packed").alias("marks"))
     )
     edges = map_batches(keyed.join(marks, ["doc_id", "tag"]), _edge_task, PAIRS)
-    of_pair = Window.partitionBy("left_rank", "right_rank").orderBy("doc_id", "tag", "packed")
-    known = F.col("packed").bitwiseAND(F.lit(1).cast("long")) == 1
+    ranked = edges.repartition("left_rank", "right_rank").sortWithinPartitions("left_rank", "right_rank")
     found = (
-        edges.withColumn("place", F.rank().over(of_pair))
-        .filter(known | (F.col("place") > 1))
+        map_batches(ranked, _resolve_task, MARKS)
         .groupBy("doc_id", "tag")
         .agg(F.collect_list("packed").alias("marks"))
     )
@@ -430,9 +540,9 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
 
 
-def removal_digest(docs: DataFrame, text: str = "text") -> DataFrame:
+def removal_digest(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of ``remove_repeats``."""
-    return remove_repeats(docs, text).select(
+    return remove_repeats(docs, text, **options).select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
