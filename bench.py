@@ -36,6 +36,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
+            "spark.wayside.localZone": "Europe/Brussels",
             "spark.driver.memory": "16g",
         },
     )

@@ -24,6 +24,7 @@ from checks.derived import (
 from checks.payloads import flat_payloads, nested_payloads
 from wayside.functions import bins, naming
 from wayside.functions.calendar import (
+    ZONE_SETTING,
     calendar_parts,
     hour_floor,
     local_time,
@@ -57,6 +58,9 @@ from wayside.streaming.windows import (
     window_counts,
 )
 
+# A zone whose clocks have gone with the roadside's since 1970.
+ZONE = "Europe/Brussels"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +69,8 @@ ORACLES: dict[str, str] = {}
 def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(query: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return query(configure(spark), sf_dir)
+            configure(spark).conf.set(ZONE_SETTING, ZONE)
+            return query(spark, sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
@@ -78,18 +83,71 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # ---------------------------------------------------------------- SQL pieces
 
 
-def sql_bin(table: bins.Bins, value: str) -> str:
+# The first and last whole number of every class and its label, and the
+# label of a missing value.  Written out here, so that a wrong class in the library
+# does not also change what it is compared with.
+LOWEST, HIGHEST = -2147483648, 2147483647
+PASSAGE_HOUR_WEIGHT = [
+    (LOWEST, 3500, "klasse01_0-3500"),
+    (3501, 7499, "klasse02_3501-7500"),
+    (7500, 10000, "klasse03_7501-10000"),
+    (10001, 20000, "klasse04_10001-20000"),
+    (20001, 30000, "klasse05_20001-30000"),
+    (30001, 40000, "klasse06_30001-40000"),
+    (40001, 50000, "klasse07_40001-50000"),
+    (50001, 60000, "klasse08_50001-60000"),
+    (60001, 70000, "klasse09_60001-70000"),
+    (70001, 80000, "klasse10_70001-80000"),
+    (80001, HIGHEST, "klasse11_80001"),
+    "klasse11_80001",
+]
+CORDON_WEIGHT = [
+    (LOWEST, 3500, "klasse 0 <= 3500"),
+    (3501, 7500, "klasse 1 <= 7500"),
+    (7501, 11250, "klasse 2 <= 11250"),
+    (11251, 30000, "klasse 3 <= 30000"),
+    (30001, 50000, "klasse 4 <= 50000"),
+    (50001, HIGHEST, "klasse 5 > 50000"),
+    "onbekend",
+]
+HEAVY_WEIGHT = [
+    (LOWEST, 3500, "klasse01_0-3500"),
+    (3501, 7500, "klasse02_3501-7500"),
+    (7501, 10000, "klasse03_7501-10000"),
+    (10001, 20000, "klasse04_10001-20000"),
+    (20001, 30000, "klasse05_20001-30000"),
+    (30001, 40000, "klasse06_30001-40000"),
+    (40001, 50000, "klasse07_40001-50000"),
+    (50001, 60000, "klasse08_50001-60000"),
+    (60001, 70000, "klasse09_60001-70000"),
+    (70001, HIGHEST, "klasse10_70001"),
+    "onbekend",
+]
+HEAVY_EMPTY_WEIGHT = [
+    (LOWEST, 3500, "klasse01_0-3500"),
+    (3501, 7500, "klasse02_3501-7500"),
+    (7501, 11250, "klasse03_7501-11250"),
+    (11251, 15000, "klasse04_11251-15000"),
+    (15001, 20000, "klasse05_15001-20000"),
+    (20001, 30000, "klasse06_20001-30000"),
+    (30001, 45000, "klasse07_30001-45000"),
+    (45001, HIGHEST, "klasse08_45001"),
+    "onbekend",
+]
+HOUR_LENGTH = [(LOWEST, 1000, "01 0t/m1000"), (1001, HIGHEST, "02 >1000"), "03 onbekend"]
+MINUTE_LENGTH = [(LOWEST, 1000, "01 <=1000"), (1001, HIGHEST, "02 >1000"), "03 onbekend"]
+VEHICLE_WIDTH = [(LOWEST, 139, "01 0-140"), (141, HIGHEST, "02 >140"), "03 onbekend"]
+
+
+def sql_bin(classes: list, value: str) -> str:
     """The class of a value, looked up in a table of ranges."""
-    rows, low = [], -2147483648
-    for edge, label in table.edges:
-        rows.append(f"({low}, {edge}, '{label}')")
-        low = edge + 1
-    rows.append(f"({low}, 2147483647, '{table.above}')")
+    *ranges, missing = classes
+    rows = [f"({low}, {high}, '{label}')" for low, high, label in ranges]
     found = (
         f"(select label from (values {', '.join(rows)}) as b(low, high, label)"
         f" where {value} between b.low and b.high)"
     )
-    return f"coalesce({found}, '{table.missing}')"
+    return f"coalesce({found}, '{missing}')"
 
 
 def sql_part(part: str, ts: str) -> str:
@@ -97,7 +155,7 @@ def sql_part(part: str, ts: str) -> str:
 
 
 def sql_local(ts: str) -> str:
-    return f"({ts} at time zone 'UTC' at time zone 'Europe/Amsterdam')"
+    return f"({ts} at time zone 'UTC' at time zone '{ZONE}')"
 
 
 def sql_calendar(ts: str, prefix: str = "passage_at_", dow: str = "day_of_week") -> str:
@@ -387,20 +445,20 @@ def snake_case_columns(spark, sf_dir):
     )
 
 
-_CAMEL = [
-    "passage_id",
-    "passage_at",
-    "camera_kijkrichting",
-    "kenteken_land_betrouwbaarheid",
-    WEIGHT,
-    "lengte",
-]
+_CAMEL = {
+    "passage_id": "passageId",
+    "passage_at": "passageAt",
+    "camera_kijkrichting": "cameraKijkrichting",
+    "kenteken_land_betrouwbaarheid": "kentekenLandBetrouwbaarheid",
+    WEIGHT: "toegestaneMaximumMassaVoertuig",
+    "lengte": "lengte",
+}
 
 
 @check(
     "camel_case_columns",
     "select "
-    + ", ".join(f"{name} as {naming.camel_case(name)}" for name in _CAMEL)
+    + ", ".join(f"{name} as {camel}" for name, camel in _CAMEL.items())
     + " from passages",
 )
 def camel_case_columns(spark, sf_dir):
@@ -598,10 +656,10 @@ def dow_label(spark, sf_dir):
 # ---------------------------------------------------------------------- bins
 
 
-def bin_check(name: str, table: bins.Bins, column: str) -> None:
+def bin_check(name: str, table: bins.Bins, classes: list, column: str) -> None:
     @check(
         name,
-        f"""select passage_id, volgnummer, {column}, {sql_bin(table, column)} as label
+        f"""select passage_id, volgnummer, {column}, {sql_bin(classes, column)} as label
         from passages""",
     )
     def query(spark, sf_dir):
@@ -610,15 +668,17 @@ def bin_check(name: str, table: bins.Bins, column: str) -> None:
         )
 
 
-bin_check("bin_weight_hour", bins.TOTAL_WEIGHT_PASSAGE_HOUR, WEIGHT)
-bin_check("bin_weight_v2", bins.TOTAL_WEIGHT_HEAVY, WEIGHT)
-bin_check("bin_empty_weight", bins.EMPTY_WEIGHT_HEAVY, "massa_ledig_voertuig")
-bin_check("bin_length", bins.LENGTH_HOUR, "lengte")
-bin_check("bin_length_minute", bins.LENGTH_MINUTE, "lengte")
-bin_check("bin_width", bins.WIDTH, "breedte")
+bin_check("bin_weight_hour", bins.TOTAL_WEIGHT_PASSAGE_HOUR, PASSAGE_HOUR_WEIGHT, WEIGHT)
+bin_check("bin_weight_v2", bins.TOTAL_WEIGHT_HEAVY, HEAVY_WEIGHT, WEIGHT)
+bin_check(
+    "bin_empty_weight", bins.EMPTY_WEIGHT_HEAVY, HEAVY_EMPTY_WEIGHT, "massa_ledig_voertuig"
+)
+bin_check("bin_length", bins.LENGTH_HOUR, HOUR_LENGTH, "lengte")
+bin_check("bin_length_minute", bins.LENGTH_MINUTE, MINUTE_LENGTH, "lengte")
+bin_check("bin_width", bins.WIDTH, VEHICLE_WIDTH, "breedte")
 
 SQL_CORDON_CLASS = (
-    f"if(kenteken_land <> 'NL', 'buitenland', {sql_bin(bins.TOTAL_WEIGHT_CORDON, WEIGHT)})"
+    f"if(kenteken_land <> 'NL', 'buitenland', {sql_bin(CORDON_WEIGHT, WEIGHT)})"
 )
 
 
@@ -674,7 +734,7 @@ SQL_PASSAGE_HOUR = f"""select {sql_calendar('passage_at', '', 'dow')}, camera_id
     rijrichting, camera_kijkrichting, if(kenteken_land = 'NL', 'NL', 'overig') as kenteken_land,
     voertuig_soort, europese_voertuigcategorie, taxi_indicator, diesel, gasoline, electric,
     weight_class as {WEIGHT}, count(*) as count
-    from (select *, {sql_bin(bins.TOTAL_WEIGHT_PASSAGE_HOUR, WEIGHT)} as weight_class
+    from (select *, {sql_bin(PASSAGE_HOUR_WEIGHT, WEIGHT)} as weight_class
     from passages) where {{days}} group by all"""
 
 
@@ -721,7 +781,7 @@ def agg_igor_hour(spark, sf_dir):
     return points(hours, "location")
 
 
-def sql_heavy(on: str, length: bins.Bins, chosen: str, minute: bool) -> str:
+def sql_heavy(on: str, length: list, chosen: str, minute: bool) -> str:
     ts = "local_at"
     extra = f"{sql_part('minute', ts)} as passage_at_minute, kenteken_hash," if minute else ""
     bus = ", ".join(
@@ -736,15 +796,15 @@ def sql_heavy(on: str, length: bins.Bins, chosen: str, minute: bool) -> str:
     length_class as lengte, width_class as breedte, {bus}, count(*) as count from (
       select p.*, {sql_local('passage_at')} as local_at, c.rijrichting_correct, c.cordon,
       c.order_kaart as cordon_order_kaart, c.order_naam as cordon_order_naam, c.richting,
-      {sql_bin(bins.EMPTY_WEIGHT_HEAVY, 'massa_ledig_voertuig')} as empty_class,
-      {sql_bin(bins.TOTAL_WEIGHT_HEAVY, WEIGHT)} as weight_class,
-      {sql_bin(length, 'lengte')} as length_class, {sql_bin(bins.WIDTH, 'breedte')} as width_class
+      {sql_bin(HEAVY_EMPTY_WEIGHT, 'massa_ledig_voertuig')} as empty_class,
+      {sql_bin(HEAVY_WEIGHT, WEIGHT)} as weight_class,
+      {sql_bin(length, 'lengte')} as length_class, {sql_bin(VEHICLE_WIDTH, 'breedte')} as width_class
       from passages p join cameras c on {on}
       where c.rijrichting_correct and ({chosen})) where {{days}} group by all"""
 
 
 SQL_HEAVY_HOUR = sql_heavy(
-    SQL_LANE, bins.LENGTH_HOUR, f"voertuig_soort = 'Bedrijfsauto' or {WEIGHT} > 3500", False
+    SQL_LANE, HOUR_LENGTH, f"voertuig_soort = 'Bedrijfsauto' or {WEIGHT} > 3500", False
 )
 
 
@@ -758,7 +818,7 @@ def agg_heavy_v2(spark, sf_dir):
     "agg_heavy_minute",
     sql_heavy(
         "p.camera_naam = c.camera_naam and p.rijrichting = c.rijrichting",
-        bins.LENGTH_MINUTE,
+        MINUTE_LENGTH,
         f"{WEIGHT} > 3500",
         True,
     ).format(days="true"),

@@ -21,6 +21,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.wayside.localZone": "Europe/Brussels",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"),
         },
     )

@@ -239,3 +239,8 @@ def test_pages_follow_each_other(make_passages):
         after = page[-1].asDict()
     assert len(seen) == len(set(seen)) == 12
     assert newest(df, 1).first().passage_at == max(times)
+
+
+def test_a_page_beyond_the_limit_is_an_error(make_passages):
+    with pytest.raises(ValueError):
+        newest(make_passages({}), 10_001)

@@ -11,7 +11,7 @@ from wayside.jobs import main
 
 def test_from_payloads_to_export(spark, folder):
     def job(*words):
-        return main([w.format(folder) for w in words], spark)
+        return main([w.format(folder) for w in (*words, "--zone", "Europe/Brussels")], spark)
 
     os.mkdir(folder + "/in")
     with open(folder + "/in/a.json", "w") as out:

@@ -218,3 +218,15 @@ def test_delivery_files(spark, make_passages, folder):
     assert text["2024-03-12"].split(";")[4:6] == ['""', "1"]
     (fields,) = csv.reader(text["2024-03-13"].splitlines(), delimiter=";")
     assert fields[15] == "" and fields[4] == ""
+
+
+def test_a_stray_day_is_left_as_it_was(spark, folder):
+    path = folder + "/days"
+    schema = "day date, n int"
+    old = spark.createDataFrame([(date(2024, 1, 2), 1), (date(2024, 1, 3), 2)], schema)
+    replace_days(old, path, "day", date(2024, 1, 2), date(2024, 1, 3))
+    new = spark.createDataFrame([(date(2024, 1, 2), 7), (date(2024, 1, 3), 8), (None, 9)], schema)
+    with pytest.raises(ValueError, match="2 rows outside"):
+        replace_days(new, path, "day", date(2024, 1, 3), date(2024, 1, 3))
+    stored = spark.read.parquet(path).select("day", "n")
+    assert {tuple(r) for r in stored.collect()} == {(date(2024, 1, 2), 1), (date(2024, 1, 3), 8)}

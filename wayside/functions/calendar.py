@@ -9,11 +9,11 @@ from __future__ import annotations
 from datetime import date, datetime, time, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values.
-LOCAL_ZONE = "Europe/Amsterdam"
+# The session setting that holds the IANA name of the roadside's zone.
+ZONE_SETTING = "spark.wayside.localZone"
 
 # Weekday labels, Monday first.
 WEEKDAY_LABELS = [
@@ -27,9 +27,18 @@ WEEKDAY_LABELS = [
 ]
 
 
+def local_zone() -> str:
+    """The zone of the active session; there is no default."""
+    session = SparkSession.getActiveSession()
+    zone = session.conf.get(ZONE_SETTING, None) if session else None
+    if not zone:
+        raise ValueError(f"set {ZONE_SETTING} to the zone of the roadside")
+    return zone
+
+
 def local_time(ts: Column) -> Column:
     """Wall-clock time at the roadside for a UTC timestamp."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(LOCAL_ZONE), ts)
+    return F.convert_timezone(F.lit("UTC"), F.lit(local_zone()), ts)
 
 
 def day_start(ts: Column) -> Column:
@@ -80,7 +89,7 @@ def passage_parts(ts: Column) -> list[Column]:
 
 def local_midnight_utc(day: date) -> datetime:
     """The UTC instant, without zone, at which a local day starts."""
-    midnight = datetime.combine(day, time(), tzinfo=ZoneInfo(LOCAL_ZONE))
+    midnight = datetime.combine(day, time(), tzinfo=ZoneInfo(local_zone()))
     return midnight.astimezone(timezone.utc).replace(tzinfo=None)
 
 

@@ -13,7 +13,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayside.functions.calendar import LOCAL_ZONE
+from wayside.functions.calendar import ZONE_SETTING
 from wayside.operators import quality
 from wayside.operators.export import camera_delivery, hourly_totals
 from wayside.operators.traffic import passage_hour
@@ -98,7 +98,6 @@ def _check(spark: SparkSession, args) -> str:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="wayside.jobs")
-    local_today = datetime.now(ZoneInfo(LOCAL_ZONE)).date()
     day = date.fromisoformat
     jobs = top.add_subparsers(dest="job", required=True)
 
@@ -107,7 +106,8 @@ def parser() -> argparse.ArgumentParser:
         sub.set_defaults(run=run)
         for path in paths:
             sub.add_argument(f"--{path}", required=True)
-        sub.add_argument("--today", type=day, default=local_today)
+        sub.add_argument("--zone", required=True, help="IANA name of the roadside's time zone")
+        sub.add_argument("--today", type=day)
         sub.add_argument("--now", type=datetime.fromisoformat)
         return sub
 
@@ -140,7 +140,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
     args = parser().parse_args(argv)
-    return args.run(spark or build_session(f"wayside {args.job}"), args)
+    args.today = args.today or datetime.now(ZoneInfo(args.zone)).date()
+    spark = spark or build_session(f"wayside {args.job}")
+    spark.conf.set(ZONE_SETTING, args.zone)
+    return args.run(spark, args)
 
 
 if __name__ == "__main__":

@@ -85,9 +85,12 @@ def newest(passages: DataFrame, size: int = PAGE_SIZE, after: dict | None = None
     """One page of passages, newest first.
 
     ``after`` holds ``passage_at``, ``passage_id`` and ``volgnummer`` of the last
-    row of the page before.  Spark keeps the top rows per task, so no task sorts
+    row of the page before.  A page of more than ``MAX_PAGE_SIZE`` rows is an error,
+    not a shorter page.  Spark keeps the top rows per task, so no task sorts
     the whole table.
     """
+    if not 0 < size <= MAX_PAGE_SIZE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE_SIZE} rows, not {size}")
     if after:
         at, ident, number = (F.col(c) for c in ("passage_at", "passage_id", "volgnummer"))
         last_at = F.lit(after["passage_at"]).cast("timestamp_ntz")
@@ -101,4 +104,4 @@ def newest(passages: DataFrame, size: int = PAGE_SIZE, after: dict | None = None
             )
         )
     order = [F.col("passage_at").desc()] + [F.col(c) for c in NATURAL_KEY if c != "passage_at"]
-    return passages.orderBy(*order).limit(min(size, MAX_PAGE_SIZE))
+    return passages.orderBy(*order).limit(size)

@@ -14,7 +14,6 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from wayside.functions.calendar import days_between
 from wayside.operators import taxi, traffic
 from wayside.operators.filters import in_local_days, in_utc_days
 from wayside.sources.passages import laid_out
@@ -115,8 +114,9 @@ def replace_days(
 ) -> Refreshed:
     """Make the days first … last of the table equal to ``result``.
 
-    Days with rows are staged and swapped in by one dynamic overwrite when the
-    job commits.  That leaves days without rows as they were, so the ones that
+    Rows of other days are an error and touch no other day: they are counted and
+    left out before anything is written.  Days with rows are staged and swapped in
+    by one dynamic overwrite when the job commits.  That leaves days without rows as they were, so the ones that
     still hold old rows are overwritten with an empty file afterwards.  A run
     that failed half-way is repaired by running it again.
     """
@@ -124,26 +124,31 @@ def replace_days(
     seen = Observation()
     # The rows of one day are already spread by their keys; several days are
     # gathered first, so that each gets few files.
-    rows = laid_out(result, day_column, *sort) if first < last else result.sortWithinPartitions(
+    inside = F.col(day_column).between(F.lit(first), F.lit(last))
+    watched = result.observe(
+        seen,
+        F.collect_set(F.when(inside, F.col(day_column))).alias("days"),
+        F.count_if(inside).alias("rows"),
+        F.count_if(~F.coalesce(inside, F.lit(False))).alias("stray"),
+    )
+    own = watched.filter(inside)
+    rows = laid_out(own, day_column, *sort) if first < last else own.sortWithinPartitions(
         day_column, *sort
     )
     (
-        rows
-        .observe(seen, F.collect_set(day_column).alias("days"), F.count(F.lit(1)).alias("rows"))
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(day_column)
         .parquet(path)
     )
     written = set(seen.get["days"])
-    stray = written - set(days_between(first, last))
-    if stray:
-        raise ValueError(f"rows outside the days of the run: {sorted(stray)}")
     stale = _days_with_rows(spark, path, day_column, first, last) - written
     schema = result.drop(day_column).schema
     for day in sorted(stale):
         empty = spark.createDataFrame([], schema)
         empty.write.mode("overwrite").parquet(f"{path}/{day_column}={day.isoformat()}")
+    if seen.get["stray"]:
+        raise ValueError(f"{seen.get['stray']} rows outside the days of the run were left out")
     return Refreshed(sorted(written), sorted(stale), seen.get["rows"])
 
 
