@@ -1,0 +1,226 @@
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from tests.llm.conftest import SF_DIR, has_tables
+
+from wayside.llm import compression_quality as quality
+from wayside.llm import ctw, lm_scoring
+
+
+def learns(doc_id, folds, out):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds != out
+
+
+# ------------------------------------------------------------ context-tree weighting
+
+
+def node_counts(sequence_list, depth):
+    """Counts of every node (context, bits so far) by walking all texts."""
+    nodes = {}
+    for text in sequence_list:
+        data = bytes(depth) + text + bytes([ctw.END])
+        for at in range(depth, len(data)):
+            for d in range(depth + 1):
+                context = data[at - d : at][::-1]
+                bits = 1
+                for bit in range(7, -1, -1):
+                    one = data[at] >> bit & 1
+                    nodes.setdefault((context, bits), [0, 0])[one] += 1
+                    bits = bits * 2 + one
+    return nodes
+
+
+def log_kt(zeros, ones):
+    total = 0.0
+    a = b = 0
+    for _ in range(zeros):
+        total += math.log((a + 0.5) / (a + b + 1))
+        a += 1
+    for _ in range(ones):
+        total += math.log((b + 0.5) / (a + b + 1))
+        b += 1
+    return total
+
+
+def brute_score(texts, text, depth):
+    nodes = node_counts(texts, depth)
+    children = {}
+    for context, bits in nodes:
+        if context:
+            children.setdefault((context[:-1], bits), []).append((context, bits))
+    weighted = {}
+
+    def log_p(node):
+        if node not in weighted:
+            own = log_kt(*nodes[node])
+            if len(node[0]) == depth:
+                weighted[node] = own
+            else:
+                below = sum(log_p(c) for c in children[node])
+                weighted[node] = math.log(0.5) + np.logaddexp(own, below)
+        return weighted[node]
+
+    def chance(data, at, bits, one):
+        p = None
+        for d in range(depth, -1, -1):
+            node = (data[at - d : at][::-1], bits)
+            if node not in nodes:
+                continue
+            zeros, ones = nodes[node]
+            own = ((ones if one else zeros) + 0.5) / (zeros + ones + 1)
+            if p is None:
+                p = own
+            else:
+                below = sum(log_p(c) for c in children[node])
+                share = 1 / (1 + math.exp(below - log_kt(zeros, ones)))
+                p = share * own + (1 - share) * p
+        return 0.5 if p is None else p
+
+    data, total = bytes(depth) + text + bytes([ctw.END]), 0.0
+    for at in range(depth, len(data)):
+        bits = 1
+        for bit in range(7, -1, -1):
+            one = data[at] >> bit & 1
+            total += math.log10(chance(data, at, bits, one))
+            bits = bits * 2 + one
+    return total
+
+
+def brute_lm(rows):
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    training = [t for d, t in texts if learns(d, 7, 2)]
+    words = Counter(w for t in training for w in [*lm_scoring.words_of(t), b" "])
+    n, v = sum(words.values()), len(words)
+    out = []
+    for d, t in texts:
+        own = [*lm_scoring.words_of(t), b" "]
+        base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in own)
+        score = brute_score(training, t, ctw.DEPTH)
+        out.append((d, not learns(d, 7, 2), len(own), sum(words[w] > 0 for w in own), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [(1 << 19, 200_000), (40, 3)])
+def test_scores_equal_brute_force(make_docs, odd_rows, frequent):
+    rows = [r for r in odd_rows if r[0] not in (5, 6)] + [(n, f"the cat {n} sat the cat") for n in range(20, 32)]
+    found = lm_scoring.score_texts(make_docs(rows), "text", *frequent).collect()
+    order = lambda r: (r[0] is not None, r[0] or 0, r[5])
+    got = sorted(
+        ((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), key=order
+    )
+    want = sorted(brute_lm(rows), key=order)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
+
+
+def test_probabilities_sum_to_one():
+    keys, counts = lm_scoring.runs(ctw.gram_keys(b"abracadabra, abracadabra"))
+    levels = ctw.build_levels(keys, counts.astype(float), 0)
+    for context in [*(keys >> 8)[:5], 12345]:
+        every = (np.int64(context) << 8) + np.arange(256)
+        assert np.isclose(np.power(10, ctw.predict(levels, every)).sum(), 1)
+
+
+def test_log_gamma():
+    values = np.array([0.5, 1, 1.5, 7, 100.5, 1e7])
+    assert np.allclose(ctw.log_gamma(values), [math.lgamma(x) for x in values], rtol=1e-10, atol=1e-9)
+
+
+def test_lookup_finds_all_and_only_its_keys():
+    chosen = np.random.default_rng(1)
+    keys = np.unique(chosen.integers(0, 1 << 48, 5_000))
+    values, found = lm_scoring.Lookup(keys, keys * 2.0).find(np.concatenate([keys, keys + 1]))
+    assert found[: len(keys)].all() and (values[: len(keys)] == keys * 2.0).all()
+    assert (found[len(keys) :] == np.isin(keys + 1, keys)).all()
+    assert not lm_scoring.Lookup(keys[:0], keys[:0] * 1.0).find(keys)[1].any()
+
+
+def test_nothing_to_learn_from(make_docs):
+    held = next(i for i in range(100) if not learns(i, 7, 2))
+    row = lm_scoring.score_texts(make_docs([(held, "ab")])).first()
+    assert row.train_tokens == 0 and row.n_known == 0
+    assert np.isclose(row.score, 3 * 8 * math.log10(0.5)) and np.isclose(row.bits_per_byte, 8)
+    assert lm_scoring.score_texts(make_docs([])).count() == 0
+
+
+@pytest.mark.skipif(not has_tables(), reason="no test tables")
+def test_held_out_text_is_coded_better_than_by_words(llm):
+    docs = llm.read.parquet(SF_DIR.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    held = lm_scoring.score_texts(docs).filter("held_out").selectExpr("avg(bits_per_byte) b", "sum(score) s", "sum(base_score) w").first()
+    assert held.b < 2.6 and held.s > held.w
+
+
+# ----------------------------------------------------------------------- quality
+
+
+def auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    place = np.empty(len(order))
+    place[order] = np.arange(1, len(order) + 1)
+    good = labels.sum()
+    return (place[labels == 1].sum() - good * (good + 1) / 2) / (good * (len(labels) - good))
+
+
+@pytest.mark.skipif(not has_tables(), reason="no test tables")
+def test_held_out_accuracy(llm):
+    folder = SF_DIR.replace("sf0.001", "sf0.1")
+    docs, labels = (llm.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.score_quality(docs, labels).filter("held_out").join(labels, "doc_id").toPandas()
+    assert auc(found.score.values, found.quality.values) > 0.98
+    assert (found.predicted == found.quality).mean() > 0.97
+    assert found.predicted[found.quality == 1].mean() > 0.97
+
+
+def test_quality_of_odd_rows(llm, make_docs, odd_rows):
+    labels = llm.createDataFrame(
+        [(n, n % 2, 0) for n in range(8)] + [(1, None, 0), (None, 1, 0), (2, 1, 0)],
+        "doc_id long, quality int, toxic int",
+    )
+    found = quality.score_quality(make_docs(odd_rows), labels).collect()
+    assert len(found) == len(odd_rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in found)
+    assert all(r.held_out != learns(r.doc_id, 4, 2) for r in found)
+    same = {r.score for r in found if r.doc_id in (1, 2)}
+    assert len(same) == 1
+    assert quality.score_quality(make_docs([]), labels).count() == 0
+    none = labels.limit(0)
+    assert {r.score for r in quality.score_quality(make_docs(odd_rows), none).collect()} == {0.5}
+
+
+def test_labels_of_held_out_rows_teach_nothing(llm, make_docs, words):
+    rows = [(n, " ".join(words(f"q{n}", 40)) + ("!!" * 30 if n % 3 == 0 else "")) for n in range(60)]
+    docs = make_docs(rows)
+    schema = "doc_id long, quality int"
+    labels = [(n, int(n % 3 != 0)) for n in range(60)]
+    flipped = [(n, q if learns(n, 4, 2) else 1 - q) for n, q in labels]
+    a, b = (
+        {r.doc_id: r.score for r in quality.score_quality(docs, llm.createDataFrame(x, schema)).collect()}
+        for x in (labels, flipped)
+    )
+    assert a == b
+
+
+def test_kept_rows_have_all_columns(llm, make_docs, odd_rows):
+    labels = llm.createDataFrame([(1, 1), (2, 0), (4, 0), (5, 1)], "doc_id long, quality int")
+    docs = make_docs(odd_rows)
+    scored = quality.score_quality(docs, labels)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert kept.count() == scored.filter("predicted = 1").count()
+
+
+def test_sample_is_bounded(llm, make_docs, words):
+    rows = [(n, " ".join(words(f"b{n}", 50))) for n in range(80)]
+    labels = llm.createDataFrame([(n, n % 2) for n in range(80)], "doc_id long, quality int")
+    from pyspark.sql import functions as F
+
+    limits = quality.Limits(texts=10, bytes=1_500)
+    texts = quality.labelled_texts(make_docs(rows), labels, F.lit(True), limits)
+    for side in (0, 1):
+        chosen = [t for t, label in texts if label == side]
+        assert 0 < len(chosen) <= 10 and sum(map(len, chosen)) <= 1_500

@@ -242,12 +242,13 @@ def _merge_task(blocks: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     batch.column("n_words"),
                     pa.array(spans, pa.list_(pa.int32())),
                     pa.array(items, pa.list_(pa.int64())),
                     pa.array(repeats, pa.int64()),
                 ],
-                ["doc_id", "n_words", "spans", "items", "repeats"],
+                ["doc_id", "text_hash", "n_words", "spans", "items", "repeats"],
             )
 
     return run
@@ -264,12 +265,30 @@ def find_quotations(
     item without an id makes hits but is not listed, items that share an id count
     once.  Without items nothing is hit.
     """
-    keyed = docs.select(
+    rows, merged = _quotations(_keyed(docs), benchmark, window, block_words)
+    if merged:
+        each = F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))
+        rows = rows.withColumn("number", each)
+    return rows.select("doc_id", "n_words", "spans", "items")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
         text_bytes().alias("content"),
     )
-    context = docs.sparkSession.sparkContext
+
+
+def _quotations(
+    keyed: DataFrame, benchmark: DataFrame, window: int, block_words: int
+) -> tuple[DataFrame, bool]:
+    """What is found, and whether equal rows are one row with their number.
+
+    One block of items needs one pass.  With more, each block's finds are stored and
+    brought together by id and text, so the driver holds one block at a time.
+    """
+    context = keyed.sparkSession.sparkContext
     blocks = _blocks(benchmark, block_words)
     found, block, n_blocks = None, next(blocks), 0
     while block is not None:
@@ -277,7 +296,7 @@ def find_quotations(
         part = map_batches(keyed, _search_task(automaton), FOUND)
         block, n_blocks = next(blocks, None), n_blocks + 1
         if block is None and found is None:
-            return part.drop("text_hash")
+            return part, False
         part = stored(part, "quotations")
         automaton.destroy()
         found = part if found is None else found.unionByName(part)
@@ -287,10 +306,7 @@ def find_quotations(
         F.flatten(F.collect_list("items")).alias("items"),
         F.count("*").alias("rows"),
     )
-    schema = "doc_id long, n_words long, spans array<int>, items array<long>, repeats long"
-    merged = map_batches(grouped, _merge_task(n_blocks), schema)
-    each = F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))
-    return merged.withColumn("number", each).drop("number", "repeats")
+    return map_batches(grouped, _merge_task(n_blocks), f"{FOUND}, repeats long"), True
 
 
 def contamination(
@@ -320,27 +336,44 @@ def contamination(
     )
 
 
-def _clean_task(automaton, column: int, min_percent: int, cut_words: int | None):
+def _clean_task(search, place: int, n_columns: int, min_percent: int, cut_words: int | None):
+    """``search`` gives (number of words, spans) for each row of a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = automaton.value
         for batch in batches:
             keep, texts = [], []
-            for text in batch.column(column).to_pylist():
-                words = words_of((text or "").encode())
-                spans, _ = tree.search(words)
+            for text, (n_words, spans) in zip(batch.column(place).to_pylist(), search(batch)):
                 hit = sum(end - start for start, end in spans)
-                keep.append(not (hit and 100 * hit >= min_percent * len(words)))
+                keep.append(not (hit and 100 * hit >= min_percent * n_words))
                 if cut_words is not None and spans and keep[-1]:
                     text = cut(text, [s for s in spans if s[1] - s[0] > cut_words])
                 texts.append(text)
-            columns = list(batch.columns)
+            columns = list(batch.columns[:n_columns])
             if cut_words is not None:
-                columns[column] = pa.array(texts, batch.schema.field(column).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+                columns[place] = pa.array(texts, batch.schema.field(place).type)
+            fields = [batch.schema.field(n) for n in range(n_columns)]
+            cleaned = pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+            yield cleaned.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _by_automaton(automaton, place: int):
+    def search(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
+        tree = automaton.value
+        for text in batch.column(place).to_pylist():
+            words = words_of((text or "").encode())
+            yield len(words), tree.search(words)[0]
+
+    return search
+
+
+def _by_columns(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
+    """The last two columns hold what was found before."""
+    for n_words, flat in zip(batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist()):
+        yield n_words, [list(span) for span in zip(flat[::2], flat[1::2])]
+
+
 def cut(text: str, spans: list[list[int]]) -> str:
     """The text without the given ranges of words; what stands between words stays."""
     raw = text.encode()
@@ -365,28 +398,28 @@ def drop_contaminated(
     cut_words: int | None = None,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """The documents that are not contaminated, with all their columns, in one pass
-    for one block of items.  With ``cut_words`` quoted spans of more words are cut
-    from those that stay.  With several blocks a document goes when the hits of all
-    blocks together reach the limit."""
+    """The documents that are not contaminated, with all their columns.
+
+    With ``cut_words``, quoted spans of more words are cut from those that stay.  One
+    block of items takes one pass and no shuffle; the finds of several blocks are
+    joined to the documents.
+    """
     context = docs.sparkSession.sparkContext
     blocks = _blocks(benchmark, block_words)
     first, second = next(blocks), next(blocks, None)
+    place, width = docs.columns.index("text"), len(docs.columns)
     if second is None:
-        automaton = context.broadcast(ItemAutomaton(first, window))
-        task = _clean_task(automaton, docs.columns.index("text"), min_percent, cut_words)
-        return docs.mapInArrow(task, docs.schema)
-    if cut_words is not None:
-        raise ValueError("spans can be cut only where the items fit one block")
-    keyed = docs.withColumns(
-        {"_clean_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_clean_hash": F.xxhash64("text")}
-    )
-    ids = keyed.select(F.col("_clean_id").alias("doc_id"), F.col("_clean_hash").alias("extra"), "text")
-    bad = contamination(
-        ids.withColumn("doc_id", F.xxhash64("doc_id", "extra")), benchmark, window, min_percent, block_words
-    ).filter("contaminated")
-    return (
-        keyed.withColumn("_clean_key", F.xxhash64("_clean_id", "_clean_hash"))
-        .join(bad.select(F.col("doc_id").alias("_clean_key")).distinct(), "_clean_key", "left_anti")
-        .drop("_clean_id", "_clean_hash", "_clean_key")
+        search = _by_automaton(context.broadcast(ItemAutomaton(first, window)), place)
+        return docs.mapInArrow(_clean_task(search, place, width, min_percent, cut_words), docs.schema)
+    found, _ = _quotations(_keyed(docs), benchmark, window, block_words)
+    found = found.select(
+        F.col("doc_id").alias("_clean_id"),
+        F.col("text_hash").alias("_clean_hash"),
+        F.col("n_words").alias("_clean_words"),
+        F.col("spans").alias("_clean_spans"),
     )
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_clean_id"])
+    both = docs.join(found, same & (F.xxhash64(docs["text"]) == found["_clean_hash"]))
+    rows = both.select(*docs.columns, "_clean_words", "_clean_spans")
+    task = _clean_task(_by_columns, place, width, min_percent, cut_words)
+    return rows.mapInArrow(task, docs.schema)
