@@ -9,15 +9,18 @@ are enumerated as keys, so such a pair shares a key.
 A key may be shared by a third of all documents, so pairs within a key are never
 listed.  Documents with equal sets are one node first.  Then
 
-1. every task links the nodes of a key to the first of them it has seen, and these
-   first ones meet by a shuffle;
-2. the pairs with near signatures are confirmed on the full sets, and confirmed links
-   make components;
-3. in keys whose nodes are in more than one component, nodes outside the key's
-   largest component meet all nodes of other components.  Pairs within a component
-   need no test: it is one already.
-
-So every pair that shares a key is confirmed, refuted or in one component.
+1. every task joins the nodes of a key to the first of them it has seen, and these
+   first ones meet by a shuffle: nodes that share keys make groups;
+2. nodes with near signatures to such a first one are confirmed on the full sets, and
+   confirmed links make components;
+3. in groups with more than one component, the nodes outside the largest one are
+   compared with all nodes of the group, on full sets, by blocks with an inverted
+   index.  Only links between components come out; pairs within a component need no
+   test.
+
+So every pair that shares a key is confirmed, refuted or in one component.  The last
+step is quadratic where many nodes of a large group are near to its others but linked
+with none; no pairs are emitted or shuffled for that, only blocks.
 """
 
 from __future__ import annotations
@@ -298,31 +301,121 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return chosen.select("node", F.explode(hubs).alias("other"))
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs that share a key across components, from the smaller components' side."""
-    known = shared.join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root")
+# Nodes outside a group's largest component that a task holds, and nodes it compares
+# with them.
+BLOCK = 1_024
+SLICE = 4_096
+
+
+def open_groups(nodes: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, group, root, main, blocks, slices) of groups with several components."""
+    known = (
+        nodes.join(groups.withColumnRenamed("root", "group"), "node", "left")
+        .join(roots, "node", "left")
+        .select("node", F.coalesce("group", "node").alias("group"), F.coalesce("root", "node").alias("root"))
+    )
+    sizes = known.groupBy("group", "root").agg(F.count("*").alias("n"))
+    several = (
+        sizes.groupBy("group")
+        .agg(
+            F.max(F.struct("n", "root")).alias("top"),
+            F.sum("n").alias("n"),
+            F.count("*").alias("n_roots"),
+        )
+        .filter("n_roots > 1")
+        .select(
+            "group",
+            F.col("top.root").alias("main"),
+            F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("blocks"),
+            F.ceil(F.col("n") / SLICE).alias("slices"),
+        )
     )
-    sizes = known.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = (
-        sizes.groupBy("key")
-        .agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
-        .filter("roots > 1")
-        .select("key", F.col("top.root").alias("main"))
+    return known.join(several, "group")
+
+
+def _cross_task(shingle: int, percent: int):
+    """Links between a block of nodes and the nodes that follow it, by an inverted
+    index of the block; one link for two components is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, index, met = None, [], None, set()
+        for batch in batches:
+            found = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("group", "block", "slice")))
+            rows = zip(keys, *(batch.column(c).to_pylist() for c in ("compared", "node", "root", "content")))
+            for key, compared, node, root, content in rows:
+                if key != unit:
+                    unit, held, index, met = key, [], None, set()
+                shingles = shingle_set(content, shingle)
+                if not compared:
+                    held.append((node, root, shingles))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index = _Index(held)
+                for place in index.similar(shingles, percent).tolist():
+                    other, other_root, _ = held[place]
+                    pair = (min(root, other_root), max(root, other_root))
+                    if root != other_root and pair not in met:
+                        met.add(pair)
+                        found.append((node, other))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], ["node", "other"]
+            )
+
+    return run
+
+
+class _Index:
+    """Which sets of a block hold each shingle."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray]]) -> None:
+        self.sizes = np.array([len(shingles) for _, _, shingles in held])
+        everything = np.concatenate([shingles for _, _, shingles in held])
+        owner = np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(everything, kind="stable")
+        self.shingles, self.starts = np.unique(everything[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(everything))
+        self.owner = owner[order]
+
+    def similar(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        at = at[self.shingles[at] == shingles]
+        parts = [self.owner[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
+        if not parts:
+            return np.empty(0, np.int64)
+        common = np.bincount(np.concatenate(parts), minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(shingles) - common))
+
+
+def cross_links(opened: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components of the open groups, each unit of a block and a slice
+    by itself."""
+    outside = opened.filter("root != main").select(
+        "group",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"),
+        F.lit(False).alias("compared"),
+        "node",
+        "root",
     )
-    members = known.join(largest, "key")
-    outside = members.filter("root != main").select(
-        "key", F.col("node").alias("other"), F.col("root").alias("other_root")
+    everyone = opened.select(
+        "group",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).alias("slice"),
+        F.lit(True).alias("compared"),
+        "node",
+        "root",
     )
-    differ = F.col("root") != F.col("other_root")
-    # Both sides outside the largest component: each pair once.
-    once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("other"))
-    return (
-        members.join(outside, "key")
-        .filter(differ & once)
-        .select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))
-        .distinct()
+    units = ["group", "block", "slice"]
+    rows = (
+        outside.unionByName(everyone)
+        .join(texts, "node")
+        .repartition(*units)
+        .sortWithinPartitions(*units, "compared")
     )
+    return map_batches(rows, _cross_task(shingle, percent), "node long, other long")
 
 
 def find_near_copies(
@@ -368,14 +461,11 @@ def find_near_copies(
         "live-texts",
     )
 
-    def links(pairs: DataFrame, label: str) -> DataFrame:
-        near = stored(near_pairs(pairs, nodes, percent, max_distance), f"{label}-pairs")
-        return stored(confirmed(near, texts, shingle, percent), f"{label}-links")
-
-    stars = stored(star_pairs(shared), "stars")
-    first = links(stars, "star")
-    again = open_pairs(shared, components(first))
-    second = links(again.join(stars, ["node", "other"], "left_anti"), "open")
+    near = near_pairs(star_pairs(shared), nodes, percent, max_distance)
+    first = stored(confirmed(stored(near, "star-pairs"), texts, shingle, percent), "star-links")
+    groups = components(shared.select("node", F.col("hub").alias("other")))
+    opened = stored(open_groups(texts.select("node"), groups, components(first)), "open-groups")
+    second = stored(cross_links(opened, texts, shingle, percent), "cross-links")
     roots = components(first.unionByName(second))
     return _members(features, nodes, roots)
 
