@@ -7,6 +7,7 @@ value ranges, first rows are ranked, refreshes are stated as their end result.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -44,6 +45,7 @@ from wayside.operators import (
 )
 from wayside.operators.cameras import with_cameras
 from wayside.plans import refresh
+from wayside.plans.ingest import ingest_batch
 from wayside.plans.rewrite import rewrite_history
 from wayside.schemas import PASSAGE_DAY
 from wayside.session import configure, scratch_path
@@ -51,12 +53,7 @@ from wayside.sources.passages import append_passages, read_passages, with_day
 from wayside.sources.reference_data import CAMERA_CSV, load_cameras, load_taxi_areas
 from wayside.sources.sinks import write_delivery_csv, write_hourly_csv
 from wayside.streaming.ingest import start_ingest
-from wayside.streaming.windows import (
-    drop_repeats,
-    latest_counts,
-    start_counts,
-    window_counts,
-)
+from wayside.streaming.windows import read_counts, start_counts, start_storing
 
 # A zone whose clocks have gone with the roadside's since 1970.
 ZONE = "Europe/Brussels"
@@ -375,6 +372,28 @@ def ingest_v2(spark, sf_dir):
     return ingested(ingest.to_passages(validated, NOW))
 
 
+@check(
+    "ingest_both",
+    f"""select {SQL_ID} as passage_id, volgnummer, passage_at, camera_id, voertuig_soort,
+    if(l_partkey % 4 = 0, 'passage-v1', 'passage-v2') as version
+    from passages where {SQL_VALID}""",
+)
+def ingest_both(spark, sf_dir):
+    """A quarter of the passages come flat in one batch, all come nested in the next
+    one, together with the flat ones again."""
+    root = scratch_path(spark, "both")
+    everything = passages(spark, sf_dir, fuels_as_text=False)
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    some = passages_of(lineitem.filter("l_partkey % 4 = 0")).withColumn(
+        "version", F.lit("passage-v1")
+    )
+    flat, nested = flat_payloads(some), nested_payloads(everything)
+    places = [f"{root}/{name}" for name in ("passages", "invalid", "duplicates")]
+    ingest_batch({"v1": flat}, *places, batch=0, now=NOW)
+    ingest_batch({"v1": flat, "v2": nested}, *places, batch=1, now=NOW)
+    return read_passages(spark, places[0]).select(*KEYED, "version")
+
+
 @check(
     "normalize_v2",
     f"""select {SQL_ID} as passage_id, volgnummer, passage_at, version, rijrichting, punt_x,
@@ -1069,10 +1088,8 @@ KEYED = ["passage_id", "volgnummer", "passage_at", "camera_id", "voertuig_soort"
 def stream_ingest(spark, sf_dir):
     root = scratch_path(spark, "stream")
     nested_lines(spark, sf_dir).write.text(f"{root}/in")
-    lines = spark.readStream.text(f"{root}/in")
     start_ingest(
-        lines,
-        "v2",
+        {"v2": spark.readStream.text(f"{root}/in")},
         f"{root}/passages",
         f"{root}/invalid",
         f"{root}/duplicates",
@@ -1082,31 +1099,47 @@ def stream_ingest(spark, sf_dir):
     return read_passages(spark, f"{root}/passages").select(*KEYED)
 
 
-def streamed(spark, sf_dir):
-    """The passages as a stream over the line-item file."""
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    lineitem = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .parquet(sf_dir)
-    )
-    return passages_of(lineitem, fuels_as_text=True)
+def streamed(spark, sf_dir, root, *parts):
+    """The passages as a stream of several micro-batches: one file each, in the order
+    of ``parts``, conditions on the line items."""
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    for number, part in enumerate(parts):
+        lineitem.filter(part).repartition(2).write.mode("append").parquet(f"{root}/in")
+        if number + 1 < len(parts):
+            time.sleep(1.1)  # the file source orders by modification time
+    reader = spark.readStream.schema(lineitem.schema).option("maxFilesPerTrigger", 2)
+    return passages_of(reader.parquet(f"{root}/in"))
+
+
+# Parts of the line items that each hold all days, and the same by season, latest
+# first: every later micro-batch is months behind the one before.
+SCATTERED = [f"l_partkey % 3 = {n}" for n in range(3)]
+BACKWARDS = ["l_orderkey % 12 >= 8", "l_orderkey % 12 between 4 and 7", "l_orderkey % 12 < 4"]
 
 
 @check("stream_dedup", f"select distinct {', '.join(KEYED)} from passages")
 def stream_dedup(spark, sf_dir):
+    """Every passage comes twice, the copies in later micro-batches."""
     root = scratch_path(spark, "stream")
-    rows = streamed(spark, sf_dir).select(*KEYED)
-    (
-        drop_repeats(rows.union(streamed(spark, sf_dir).select(*KEYED)))
-        .writeStream.format("parquet")
-        .option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{root}/out")
+    rows = streamed(spark, sf_dir, root, *SCATTERED, *SCATTERED[:2])
+    start_storing(rows, f"{root}/passages", f"{root}/checkpoint").awaitTermination()
+    return read_passages(spark, f"{root}/passages").select(*KEYED)
+
+
+@check("stream_late_rows", f"select distinct {', '.join(KEYED)} from passages")
+def stream_late_rows(spark, sf_dir):
+    root = scratch_path(spark, "stream")
+    rows = streamed(spark, sf_dir, root, *BACKWARDS)
+    start_storing(rows, f"{root}/passages", f"{root}/checkpoint").awaitTermination()
+    return read_passages(spark, f"{root}/passages").select(*KEYED)
+
+
+def stream_counts(spark, sf_dir, length, parts):
+    root = scratch_path(spark, "stream")
+    rows = streamed(spark, sf_dir, root, *parts)
+    places = [f"{root}/{name}" for name in ("passages", "counts", "checkpoint")]
+    start_counts(rows, *places, length).awaitTermination()
+    return read_counts(spark, f"{root}/counts")
 
 
 @check(
@@ -1115,10 +1148,7 @@ def stream_dedup(spark, sf_dir):
     camera_naam, count(*) as count from passages group by all""",
 )
 def stream_hour_counts(spark, sf_dir):
-    root = scratch_path(spark, "stream")
-    counts = window_counts(streamed(spark, sf_dir))
-    start_counts(counts, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return latest_counts(spark, f"{root}/out")
+    return stream_counts(spark, sf_dir, "hour", SCATTERED)
 
 
 @check(
@@ -1127,10 +1157,7 @@ def stream_hour_counts(spark, sf_dir):
     camera_naam, count(*) as count from passages group by all""",
 )
 def stream_minute_counts(spark, sf_dir):
-    root = scratch_path(spark, "stream")
-    counts = window_counts(streamed(spark, sf_dir), "1 minute")
-    start_counts(counts, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return latest_counts(spark, f"{root}/out")
+    return stream_counts(spark, sf_dir, "minute", BACKWARDS)
 
 
 # ------------------------------------------------------------------- quality

@@ -281,9 +281,9 @@ def test_batch_can_be_repeated(spark, folder):
     def counts():
         return [spark.read.parquet(path).count() for path in paths]
 
-    ingest_batch(batch, "v1", *paths, batch=0, now=NOW)
+    ingest_batch({"v1": batch}, *paths, batch=0, now=NOW)
     assert counts() == [2, 1, 1]
-    ingest_batch(batch, "v1", *paths, batch=0, now=NOW)
+    ingest_batch({"v1": batch}, *paths, batch=0, now=NOW)
     assert counts() == [2, 1, 1]
-    ingest_batch(lines(spark, FLAT), "v1", *paths, batch=1, now=NOW)
+    ingest_batch({"v1": lines(spark, FLAT)}, *paths, batch=1, now=NOW)
     assert counts() == [2, 1, 2]

@@ -22,7 +22,7 @@ def test_from_payloads_to_export(spark, folder):
         out.write("id,gebiedstype,gebied,camera_id\n1,Stadsbreed,Stad,ANPR-01001\n")
     stored = ["--passages", "{0}/passages"]
     rejects = ["--invalid", "{0}/invalid", "--duplicates", "{0}/duplicates"]
-    job("ingest", "--payloads", "{0}/in", *stored, *rejects, "--version", "v1",
+    job("ingest", "--v1", "{0}/in", *stored, *rejects,
         "--now", "2024-03-12T09:30:00")
     today = ["--today", "2024-03-13"]
     assert job("refresh", *stored, "--table", "passage_hour", "--output", "{0}/hours", *today) == (

@@ -61,7 +61,8 @@ def test_no_pairwise_join(spark, make_passages, make_areas):
 
 
 def test_copies_are_combined_before_the_shuffle(make_passages):
-    text = plan(first_of_key(make_passages({}, {})))
+    same = {"passage_id": "00000000-0000-0000-0000-000000000009"}
+    text = plan(first_of_key(make_passages(same, same), max_repeated=0))
     assert text.count("Exchange hashpartitioning") == 1
     assert "partial_min" in text.split("Exchange hashpartitioning")[1]
     assert "Window" not in text
@@ -69,3 +70,22 @@ def test_copies_are_combined_before_the_shuffle(make_passages):
 
 def test_page_is_a_top_k(make_passages):
     assert "TakeOrderedAndProject" in plan(newest(make_passages({}, {})))
+
+
+def test_rows_of_single_keys_are_not_shuffled(spark, make_passages):
+    """Keys are counted on three columns; only copies are grouped in full."""
+    same = {"passage_id": "00000000-0000-0000-0000-000000000009"}
+    text = plan(first_of_key(make_passages({}, same, same)))
+    assert "LeftAnti" in text and "BroadcastHashJoin" in text
+    assert text.count("Exchange hashpartitioning") == 1
+    before = text.split("Exchange hashpartitioning")[1]
+    assert "partial_min" in before and "LeftSemi" in before
+
+
+def test_missing_days_prune_folders(spark, make_passages, folder):
+    from wayside.operators.quality import missing_days
+
+    table = stored(spark, make_passages, folder)
+    found = missing_days(table, date(2024, 3, 12), date(2024, 3, 20))
+    assert found.count() == 5
+    assert re.search(r"PartitionFilters: \[.*passage_date.*2024-03-12.*2024-03-20", plan(found))

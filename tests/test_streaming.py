@@ -4,11 +4,15 @@ import json
 import time
 from datetime import datetime, timedelta
 
+import pytest
+
 from tests.test_ingest import FLAT, ID, NOW
+from wayside.plans.ingest import store_new
+from wayside.sources.files import only_writer
 from wayside.sources.passages import read_passages
 from wayside.sources.payloads import stream_payloads
 from wayside.streaming.ingest import start_ingest
-from wayside.streaming.windows import drop_repeats, latest_counts, start_counts, window_counts
+from wayside.streaming.windows import read_counts, start_counts, start_storing
 
 
 def payload_file(folder, name, *payloads):
@@ -24,7 +28,7 @@ def test_payload_stream(spark, folder):
 
     def run():
         lines = stream_payloads(spark, folder + "/in", files_per_trigger=1)
-        start_ingest(lines, "v1", *paths, folder + "/checkpoint", now=NOW).awaitTermination()
+        start_ingest({"v1": lines}, *paths, folder + "/checkpoint", now=NOW).awaitTermination()
         return [spark.read.parquet(path).count() for path in paths]
 
     second = {**FLAT, "id": ID[:-1] + "2"}
@@ -53,37 +57,30 @@ def stream(spark, make_passages, folder):
     return reader.parquet(folder + "/in")
 
 
-def test_counts_over_batches_match_a_batch_job(spark, make_passages, folder):
-    batches = [
-        [{"passage_at": START + timedelta(minutes=25 * n)} for n in range(8)],
-        [{"passage_at": START + timedelta(hours=30, minutes=7 * n)} for n in range(8)],
-        [{"passage_at": START + timedelta(minutes=11 * n)} for n in range(8)],  # late, in time
-    ]
-    write_batches(make_passages, folder, *batches)
-    counts = window_counts(stream(spark, make_passages, folder))
-    start_counts(counts, folder + "/out", folder + "/checkpoint").awaitTermination()
+def hours_of(batches):
     want = {}
     for row in sum(batches, []):
         hour = row["passage_at"].replace(minute=0)
         want[hour] = want.get(hour, 0) + 1
-    found = latest_counts(spark, folder + "/out").collect()
-    assert {r.window_start: r["count"] for r in found} == want
-    assert spark.read.parquet(folder + "/out").select("batch").distinct().count() >= 3
+    return want
 
 
-def test_rows_later_than_the_watermark_are_left_to_the_refresh(spark, make_passages, folder):
-    write_batches(
-        make_passages,
-        folder,
-        [{"passage_at": START}],
-        [{"passage_at": START + timedelta(days=10)}],
+def test_counts_over_batches_match_a_batch_job(spark, make_passages, folder):
+    """The last rows are ten days behind the stream, and counted."""
+    batches = [
+        [{"passage_at": START + timedelta(minutes=25 * n)} for n in range(8)],
+        [{"passage_at": START + timedelta(days=10, minutes=7 * n)} for n in range(8)],
         [{"passage_at": START + timedelta(days=10, hours=1)}],
-        [{"passage_at": START}],
-    )
-    counts = window_counts(stream(spark, make_passages, folder))
-    start_counts(counts, folder + "/out", folder + "/checkpoint").awaitTermination()
-    found = {r.window_start: r["count"] for r in latest_counts(spark, folder + "/out").collect()}
-    assert found[START] == 1 and len(found) == 3
+        [{"passage_at": START + timedelta(minutes=11 * n), "camera_id": "cam-1"} for n in range(8)],
+    ]
+    numbered = iter(range(100))
+    for row in sum(batches, []):
+        row["passage_id"] = f"00000000-0000-0000-0000-{next(numbered):012d}"
+    write_batches(make_passages, folder, *batches)
+    places = [f"{folder}/{name}" for name in ("passages", "counts", "checkpoint")]
+    start_counts(stream(spark, make_passages, folder), *places).awaitTermination()
+    found = read_counts(spark, places[1]).collect()
+    assert {r.window_start: r["count"] for r in found} == hours_of(batches)
 
 
 def test_repeats_over_batches(spark, make_passages, folder):
@@ -91,14 +88,15 @@ def test_repeats_over_batches(spark, make_passages, folder):
     write_batches(
         make_passages, folder, [row, row], [row, {**row, "volgnummer": 2}], [{**row, "passage_at": NOW}]
     )
-    (
-        drop_repeats(stream(spark, make_passages, folder))
-        .writeStream.format("parquet")
-        .option("path", folder + "/out")
-        .option("checkpointLocation", folder + "/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    found = spark.read.parquet(folder + "/out").collect()
+    rows = stream(spark, make_passages, folder)
+    start_storing(rows, folder + "/passages", folder + "/checkpoint").awaitTermination()
+    found = read_passages(spark, folder + "/passages").collect()
     assert sorted((r.volgnummer, r.passage_at) for r in found) == [(1, START), (1, NOW), (2, START)]
+
+
+def test_a_second_writer_stops_before_it_writes(spark, make_passages, folder):
+    with only_writer(spark, folder + "/passages"):
+        with pytest.raises(RuntimeError, match="another run"):
+            store_new(make_passages({}), folder + "/passages")
+    store_new(make_passages({}), folder + "/passages")
+    assert read_passages(spark, folder + "/passages").count() == 1

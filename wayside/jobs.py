@@ -30,13 +30,16 @@ from wayside.streaming.ingest import start_ingest
 
 def _ingest(spark: SparkSession, args) -> str:
     places = (args.passages, args.invalid, args.duplicates)
+    given = {"v1": args.v1, "v2": args.v2}
+    paths = {version: path for version, path in given.items() if path}
+    if not paths:
+        raise SystemExit("give the payloads of at least one version: --v1, --v2")
     if args.checkpoint:
-        start_ingest(
-            stream_payloads(spark, args.payloads), args.version, *places, args.checkpoint
-        ).awaitTermination()
+        streams = {version: stream_payloads(spark, path) for version, path in paths.items()}
+        start_ingest(streams, *places, args.checkpoint, args.now).awaitTermination()
     else:
-        lines = spark.read.text(args.payloads)
-        ingest_batch(lines, args.version, *places, batch=args.batch, now=args.now)
+        lines = {version: spark.read.text(path) for version, path in paths.items()}
+        ingest_batch(lines, *places, batch=args.batch, now=args.now)
     return "ingest finished"
 
 
@@ -111,8 +114,9 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--now", type=datetime.fromisoformat)
         return sub
 
-    sub = job("ingest", _ingest, "payloads", "passages", "invalid", "duplicates")
-    sub.add_argument("--version", choices=["v1", "v2"], required=True)
+    sub = job("ingest", _ingest, "passages", "invalid", "duplicates")
+    sub.add_argument("--v1", help="flat payloads")
+    sub.add_argument("--v2", help="nested payloads")
     sub.add_argument("--checkpoint", help="read the payload folder as a stream")
     sub.add_argument("--batch", default="0", help="label of a batch run")
     sub = job("refresh", _refresh, "passages", "output")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -10,6 +14,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+@contextmanager
+def only_writer(spark: SparkSession, table: str) -> Iterator[None]:
+    """Hold the table's lock file while writing.
+
+    The file system creates it once only, so a second writer stops before it writes.
+    A run that was killed leaves the file behind; it is removed by hand, after making
+    sure that no run is left.
+    """
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}.lock")
+    system = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        created = system.createNewFile(lock)
+    except Py4JJavaError:  # some file systems raise instead
+        created = False
+    if not created:
+        raise RuntimeError(f"another run writes {table}, or left {lock.toString()} behind")
+    try:
+        yield
+    finally:
+        system.delete(lock, False)
+
+
 def is_finished(spark: SparkSession, path: str) -> bool:
     """Whether a write to this folder was committed."""
     return path_exists(spark, f"{path}/_SUCCESS")

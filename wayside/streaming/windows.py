@@ -1,75 +1,103 @@
-"""Stateful streams: duplicate removal and tumbling counts.
+"""Passage streams into tables: each key once, and tumbling counts.
 
-A watermark needs a TIMESTAMP, so the zone-less passage time is cast on the way
-in and back on the way out; the session zone is UTC.
+Rows may come in any order and at any age.  There is no watermark to fall behind: a
+micro-batch meets the stored rows of its own days, and the counts of these days are
+made again from the table and replace the old ones.  A micro-batch that is replayed
+changes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wayside.schemas import NATURAL_KEY
-
-# The refresh jobs redo three days, so a stream waits as long for late rows.
-LATENESS = "3 days"
-
+from wayside.functions.calendar import hour_floor, minute_floor
+from wayside.operators.filters import in_utc_days
+from wayside.plans.ingest import store_new
+from wayside.plans.refresh import replace_days
+from wayside.schemas import PASSAGE_DAY
+from wayside.sources.passages import read_passages
 
-def watermarked(passages: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    at = F.col("passage_at").cast("timestamp")
-    return passages.withColumn("passage_at", at).withWatermark("passage_at", lateness)
+# Window lengths and how a time is cut to the window's start.
+LENGTHS = {"hour": hour_floor, "minute": minute_floor}
 
 
-def drop_repeats(passages: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """First row of every natural key.  The event time is part of the key, so
-    state older than the watermark is dropped."""
+def window_counts(passages: DataFrame, length: str = "hour") -> DataFrame:
+    """Passages per camera and tumbling window, with the window's UTC day."""
+    start = LENGTHS[length](F.col("passage_at")).alias("window_start")
     return (
-        watermarked(passages, lateness)
-        .dropDuplicates(NATURAL_KEY)
-        .withColumn("passage_at", F.col("passage_at").cast("timestamp_ntz"))
+        passages.groupBy(start, "camera_id", "camera_naam")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .withColumn(PASSAGE_DAY, F.to_date("window_start"))
     )
 
 
-def window_counts(
-    passages: DataFrame, length: str = "1 hour", lateness: str = LATENESS
-) -> DataFrame:
-    """Passages per camera and tumbling window."""
-    return (
-        watermarked(passages, lateness)
-        .groupBy(F.window("passage_at", length), "camera_id", "camera_naam")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select(
-            F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-            "camera_id",
-            "camera_naam",
-            "count",
-        )
-    )
+def runs_of(days: list[date]) -> list[tuple[date, date]]:
+    """Consecutive days as (first, last)."""
+    runs: list[tuple[date, date]] = []
+    for day in sorted(days):
+        if runs and day == runs[-1][1] + timedelta(days=1):
+            runs[-1] = (runs[-1][0], day)
+        else:
+            runs.append((day, day))
+    return runs
 
 
-def start_counts(
-    counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+def start_storing(
+    passages: DataFrame,
+    table: str,
+    checkpoint: str,
+    then: Callable[[list[date]], None] | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Write every window that changed in a micro-batch under the batch number;
-    a repeated batch replaces its own folder."""
+    """Append every passage whose key is new to ``table``, whatever its age; ``then``
+    is called with the days of each micro-batch."""
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.persist()
+        try:
+            store_new(batch, table)
+            if then:
+                days = batch.select(F.to_date("passage_at").alias("day")).distinct()
+                then([row.day for row in days.collect()])
+        finally:
+            batch.unpersist()
 
     return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(store)
+        passages.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The last state of every window."""
-    return (
-        spark.read.parquet(path)
-        .groupBy("window_start", "camera_id", "camera_naam")
-        .agg(F.max_by("count", "batch").alias("count"))
-    )
+def start_counts(
+    passages: DataFrame,
+    table: str,
+    counts: str,
+    checkpoint: str,
+    length: str = "hour",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Store the stream and keep the table of its counts: the days that a micro-batch
+    touches are counted again."""
+    spark = passages.sparkSession
+
+    def recount(days: list[date]) -> None:
+        for first, last in runs_of(days):
+            rows = in_utc_days(read_passages(spark, table), first, last)
+            replace_days(window_counts(rows, length), counts, PASSAGE_DAY, first, last)
+
+    return start_storing(passages, table, checkpoint, recount, trigger)
+
+
+COUNTS = "window_start timestamp_ntz, camera_id string, camera_naam string, count long"
+
+
+def read_counts(spark: SparkSession, counts: str) -> DataFrame:
+    stored = spark.read.schema(f"{COUNTS}, {PASSAGE_DAY} date").parquet(counts)
+    return stored.drop(PASSAGE_DAY)
