@@ -34,7 +34,7 @@ FOLDS, HELD_OUT = 7, 2
 
 # Grams and words in the broadcast table: some 20 bytes each, whatever the corpus.
 FREQUENT_GRAMS = 1 << 19
-FREQUENT_WORDS = 200_000
+FREQUENT_WORDS = 400_000
 
 # Bytes of text after which a task hands on the grams it has counted, and distinct
 # words after which it hands on these.
@@ -260,15 +260,15 @@ def _score_task(frequent, total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_keys, gram_scores, words, counts = frequent.value
         grams = Lookup(gram_keys, gram_scores)
-        known = dict(zip(words, counts.tolist()))
         scale = np.log10(total + distinct + 1)
+        known = dict(zip(words, (np.log10(counts + 1) - scale).tolist()))
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 rows = []
                 for key, doc_id, held_out, text in zip(
                     *(c.to_pylist() for c in batch.slice(part, 500).columns)
                 ):
-                    rows.extend(_score_text(grams, known, scale, key, doc_id, held_out, text))
+                    rows.extend(_score_text(grams, known, key, doc_id, held_out, text))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, kind in zip(zip(*rows), _PART_KINDS)], _PART_NAMES
                 )
@@ -285,7 +285,7 @@ _PART_NAMES = [
 ]
 
 
-def _score_text(grams, known, scale, key, doc_id, held_out, text):
+def _score_text(grams, known, key, doc_id, held_out, text):
     """Rows of a text: the first holds what is known, each rare key follows."""
     numbers = ctw.gram_keys(text)
     values, found = grams.find(numbers)
@@ -294,11 +294,11 @@ def _score_text(grams, known, scale, key, doc_id, held_out, text):
     tokens = sum(words.values())
     base, n_known, rare = 0.0, 0, []
     for word, n in words.items():
-        count = known.get(word)
-        if count is None:
+        value = known.get(word)
+        if value is None:
             rare.append((WORD + word, n))
         else:
-            base += n * (np.log10(count + 1) - scale)
+            base += n * value
             n_known += n
     missing = numbers[~found]
     if len(missing):
