@@ -10,6 +10,7 @@ from wayside.operators.dedup import (
     not_stored,
     same_days,
 )
+from wayside.operators.export import list_json
 from wayside.operators.ingest import accepted, read_validated, rejected, to_passages
 from wayside.plans.ingest import ingest_batch
 from wayside.sources.passages import append_passages, read_passages
@@ -123,7 +124,7 @@ def test_flat_payload(spark):
     assert row.straat == "Kade" and row.rijrichting == -1
     assert (row.camera_locatie.x, row.camera_locatie.y) == (4.8, 52.3)
     assert row.kenteken_karakters_betrouwbaarheid[0].asDict() == {
-        "positie": 1, "betrouwbaarheid": 650
+        "positie": 1, "betrouwbaarheid": 650, "rest": None
     }
     assert row.brandstoffen[0].brandstof == "Diesel" and row.diesel == 1
     assert json.loads(row.extra_data) == {"a": [1]}
@@ -141,12 +142,35 @@ def test_flat_payload_in_snake_case_and_without_optional_fields(spark):
     assert row.volgnummer == 1 and row.camera_naam == "x" and row.brandstoffen is None
 
 
+def test_other_keys_of_list_items_are_kept(spark):
+    items = [{"brandstof": "Diesel", "b": 2, "andereSleutel": "x"}, {"brandstof": "Diesel"}]
+    (row,) = stored(spark, "v1", {**FLAT, "brandstoffen": items})
+    assert [fuel.rest for fuel in row.brandstoffen] == ['{"andereSleutel":"x","b":"2"}', None]
+    vehicle = {**NESTED["voertuig"], "brandstoffen": [{"naam": "Benzine", "nieuw": True}]}
+    (row,) = stored(spark, "v2", {**NESTED, "voertuig": vehicle})
+    assert (row.brandstoffen[0].brandstof, row.brandstoffen[0].rest) == ("Benzine", '{"nieuw":"true"}')
+
+
+def test_a_number_given_as_null_is_not_an_absent_one(spark):
+    assert reasons(spark, "v1", {**FLAT, "volgnummer": None}) == {"volgnummer:required"}
+
+
+def test_items_leave_with_their_other_keys(spark):
+    items = [{"brandstof": "Diesel", "nieuw": "x"}, {"andere": "y"}, {"volgnr": 2}]
+    passages = to_passages(read_validated(lines(spark, {**FLAT, "brandstoffen": items}), "v1"), NOW)
+    (row,) = passages.select(list_json(passages["brandstoffen"]).alias("text")).collect()
+    assert json.loads(row.text) == items
+
+
 def test_numbers_may_come_as_text(spark):
     (row,) = stored(spark, "v1", {**FLAT, "rijstrook": "4", "kentekenLandBetrouwbaarheid": 12.0})
     assert row.rijstrook == 4 and row.kenteken_land_betrouwbaarheid == 12
 
 
 FLAT_REJECTS = [
+    ({"kentekenKaraktersBetrouwbaarheid": [{"positie": "abc"}]},
+     "kenteken_karakters_betrouwbaarheid:type"),
+    ({"brandstoffen": [{"brandstof": "Diesel", "volgnr": "first"}]}, "brandstoffen:type"),
     ({"kentekenNummerBetrouwbaarheid": -1}, "kenteken_nummer_betrouwbaarheid:range"),
     ({"kentekenLandBetrouwbaarheid": 1001}, "kenteken_land_betrouwbaarheid:range"),
     ({"volgnummer": -1}, "volgnummer:range"),
@@ -225,6 +249,7 @@ def test_nested_payload_with_required_fields_only(spark):
 
 
 NESTED_REJECTS = [
+    ({"voertuig": {"brandstoffen": [{"naam": "Diesel", "volgnummer": "x"}]}}, "brandstoffen:type"),
     ({"rijrichting": "OOST"}, "rijrichting:type"),
     ({"camera": {"naam": "x"}}, "camera_id:required"),
     ({"volgnummer": None}, "volgnummer:required"),

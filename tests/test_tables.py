@@ -105,7 +105,7 @@ def test_history_rewrite_masks_every_day(spark, make_passages, folder):
     rows = make_passages(
         *[
             {"passage_at": datetime(2024, 3, d, 5), "toegestane_maximum_massa_voertuig": 2000,
-             "merk": "m", "brandstoffen": [("Diesel", 1, None, None, None, None, None)]}
+             "merk": "m", "brandstoffen": [("Diesel", 1, None, None, None, None, None, None)]}
             for d in (10, 11, 12)
         ]
     )
@@ -199,7 +199,7 @@ def test_export_filters_and_empty_export(spark, folder):
 def test_delivery_files(spark, make_passages, folder):
     rows = make_passages(
         {"camera_locatie": (4.5, 52.25), "automatisch_verwerkbaar": True, "straat": "",
-         "brandstoffen": [("Diesel", 1, None, None, None, None, None)]},
+         "brandstoffen": [("Diesel", 1, None, None, None, None, None, None)]},
         {"camera_id": "other"},
         {"passage_at": datetime(2024, 3, 13), "automatisch_verwerkbaar": None},
         {"passage_at": datetime(2024, 4, 1)},

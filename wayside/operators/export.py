@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from wayside.functions.calendar import last_week
 from wayside.functions.keys import record_id
 from wayside.operators.sizing import fits_broadcast
-from wayside.schemas import PASSAGE_DAY
+from wayside.schemas import PASSAGE_DAY, REST
 
 
 def hourly_totals(
@@ -106,10 +106,23 @@ def _delivered(field: T.StructField) -> Column:
             column.isNotNull(), F.format_string("SRID=4326;POINT(%s %s)", column["x"], column["y"])
         )
     if isinstance(field.dataType, T.ArrayType):
-        return F.to_json(column)
+        return list_json(column)
     return column.cast("string")
 
 
+def list_json(column: Column) -> Column:
+    """A list as JSON, the rest of each item among its fields."""
+
+    def item(source: Column) -> Column:
+        known, rest = F.to_json(source.dropFields(REST)), source[REST]
+        joint = F.when(known == "{}", "").otherwise(",")
+        both = F.concat(F.left(known, F.length(known) - 1), joint, F.substr(rest, F.lit(2)))
+        return F.when(rest.isNull(), known).otherwise(both)
+
+    items = F.array_join(F.transform(column, item), ",")
+    return F.when(column.isNotNull(), F.concat(F.lit("["), items, F.lit("]")))
+
+
 def delivery_text(delivery: DataFrame) -> DataFrame:
     return delivery.select(
         *[

@@ -9,11 +9,16 @@ from pyspark.sql import types as T
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
+# What a list item holds besides its declared fields, as a JSON object in the order of
+# its keys; NULL where there is nothing else.
+REST = "rest"
+
 CHARACTER_RELIABILITY = T.ArrayType(
     T.StructType(
         [
             T.StructField("positie", T.IntegerType()),
             T.StructField("betrouwbaarheid", T.IntegerType()),
+            T.StructField(REST, T.StringType()),
         ]
     )
 )
@@ -30,6 +35,7 @@ FUELS = T.ArrayType(
             T.StructField("co2UitstootGecombineerd", T.DoubleType()),
             T.StructField("co2UitstootGewogen", T.DoubleType()),
             T.StructField("milieuklasseEgGoedkeuringZwaar", T.StringType()),
+            T.StructField(REST, T.StringType()),
         ]
     )
 )
@@ -166,7 +172,8 @@ def _text(*names: str) -> list[T.StructField]:
     return [T.StructField(name, T.StringType()) for name in names]
 
 
-_CHARACTER_PAYLOAD = T.ArrayType(T.StructType(_text("positie", "betrouwbaarheid")))
+# Items of payload lists are read with whatever keys they have.
+_ITEMS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 
 # Flat payload in its camelCase spelling: ``id`` stands for ``passage_id`` and
 # the location is a GeoJSON point.
@@ -195,7 +202,7 @@ PAYLOAD_V1 = T.StructType(
         )
     ]
     + _text("kentekenLand", "kentekenNummerBetrouwbaarheid", "kentekenLandBetrouwbaarheid")
-    + [T.StructField("kentekenKaraktersBetrouwbaarheid", _CHARACTER_PAYLOAD)]
+    + [T.StructField("kentekenKaraktersBetrouwbaarheid", _ITEMS)]
     + _text(
         "indicatieSnelheid",
         "automatischVerwerkbaar",
@@ -211,22 +218,7 @@ PAYLOAD_V1 = T.StructType(
         "maximaleConstructieSnelheidBromsnorfiets",
     )
     + [
-        T.StructField(
-            "brandstoffen",
-            T.ArrayType(
-                T.StructType(
-                    _text(
-                        "brandstof",
-                        "volgnr",
-                        "volgnummer",
-                        "emissieklasse",
-                        "co2UitstootGecombineerd",
-                        "co2UitstootGewogen",
-                        "milieuklasseEgGoedkeuringZwaar",
-                    )
-                )
-            ),
-        )
+        T.StructField("brandstoffen", _ITEMS)
     ]
     + _text(
         "extraData",
@@ -284,7 +276,7 @@ PAYLOAD_V2 = T.StructType(
                                         _text("landcodeBetrouwbaarheid", "kentekenBetrouwbaarheid")
                                         + [
                                             T.StructField(
-                                                "karaktersBetrouwbaarheid", _CHARACTER_PAYLOAD
+                                                "karaktersBetrouwbaarheid", _ITEMS
                                             )
                                         ]
                                     ),
@@ -317,21 +309,7 @@ PAYLOAD_V2 = T.StructType(
                     "merk",
                 )
                 + [
-                    T.StructField(
-                        "brandstoffen",
-                        T.ArrayType(
-                            T.StructType(
-                                _text(
-                                    "naam",
-                                    "volgnummer",
-                                    "emissieklasse",
-                                    "co2UitstootGecombineerd",
-                                    "co2UitstootGewogen",
-                                    "milieuklasseEgGoedkeuringZwaar",
-                                )
-                            )
-                        ),
-                    )
+                    T.StructField("brandstoffen", _ITEMS)
                 ]
             ),
         ),
