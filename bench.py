@@ -67,6 +67,7 @@ def main() -> None:
     make_hours()
     hour_table = refresh.read_table(spark, hours, traffic.passage_hour(passages))
     copies = passages.unionByName(passages)
+    few_copies = passages.unionByName(passages.filter("pmod(xxhash64(passage_id), 100) = 0"))
     jobs = {
         "agg_heavy_v2": lambda: run(traffic.heavy_hour(passages, cameras)),
         "agg_heavy_minute": lambda: run(traffic.heavy_minute(passages, cameras)),
@@ -79,6 +80,8 @@ def main() -> None:
         "export_hourly": lambda: run(export.hourly_totals(hour_table, year=2000)),
         "dedup_passages": lambda: run(dedup.first_of_key(copies)),
         "duplicate_passages": lambda: run(dedup.later_copies(copies)),
+        "dedup_few_copies": lambda: run(dedup.first_of_key(few_copies)),
+        "duplicates_few_copies": lambda: run(dedup.later_copies(few_copies)),
         "ingest_v2": lambda: run(
             ingest.to_passages(ingest.read_validated(spark.read.text(payloads), "v2"), run_at)
         ),

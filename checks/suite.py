@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -762,9 +763,7 @@ def agg_passage_hour(spark, sf_dir):
     return traffic.passage_hour(passages(spark, sf_dir))
 
 
-@check(
-    "agg_heavy_v1",
-    f"""select hour_start as passage_at_timestamp,
+SQL_CORDON_HOUR = f"""select hour_start as passage_at_timestamp,
     {sql_calendar('hour_start').replace(
         f"cast({sql_part('dow', 'hour_start')} as varchar)", SQL_WEEKDAY.format(ts='hour_start')
     )},
@@ -777,8 +776,10 @@ def agg_passage_hour(spark, sf_dir):
       if(voertuig_soort = 'Personenauto', 'Personenauto', inrichting) as inrichting,
       {SQL_CORDON_CLASS} as voertuig_klasse_toegestaan_gewicht
       from passages p join cameras c on {SQL_LANE} where c.cordon in ('S100', 'A10'))
-    group by all""",
-)
+    group by all"""
+
+
+@check("agg_heavy_v1", SQL_CORDON_HOUR)
 def agg_heavy_v1(spark, sf_dir):
     hours = traffic.heavy_cordon_hour(passages(spark, sf_dir), cameras(spark, sf_dir))
     return points(hours, "location")
@@ -1213,6 +1214,31 @@ def sql_violations(table: str, rows: str, broken: dict[str, str]) -> str:
         },
     )
     + " union all "
+    + sql_violations(
+        "heavy_cordon_hour",
+        SQL_CORDON_HOUR,
+        {
+            "kenteken_land:required": "kenteken_land is null",
+            "richting:length": "length(richting) > 3",
+        },
+    )
+    + " union all "
+    + sql_violations(
+        "taxi_hour",
+        SQL_TAXI.format(days="true"),
+        {
+            f"{c}:required": f"{c} is null"
+            for c in (
+                "hh",
+                "gebiedstype",
+                "gebied",
+                "electric",
+                "unieke_passages",
+                "check_on_camera_count",
+            )
+        },
+    )
+    + " union all "
     + sql_violations(
         "passage_hour",
         SQL_PASSAGE_HOUR.format(days="true"),
@@ -1228,9 +1254,15 @@ def check_constraints(spark, sf_dir):
         "igor_hour": quality.constraint_report(
             traffic.igor_hour(rows, cameras(spark, sf_dir)), quality.CORDON_HOUR_RULES
         ),
+        "heavy_cordon_hour": quality.constraint_report(
+            traffic.heavy_cordon_hour(rows, cameras(spark, sf_dir)), quality.CORDON_HOUR_RULES
+        ),
+        "taxi_hour": quality.constraint_report(
+            taxi.taxi_hour(rows, areas(spark, sf_dir)), quality.TAXI_HOUR_RULES
+        ),
         "passage_hour": quality.constraint_report(
             traffic.passage_hour(rows), quality.PASSAGE_HOUR_RULES
         ),
     }
     named = [df.withColumn("table_name", F.lit(name)) for name, df in reports.items()]
-    return named[0].unionByName(named[1])
+    return reduce(DataFrame.unionByName, named)

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from wayside.functions.calendar import last_week
 from wayside.functions.keys import record_id
-from wayside.operators.sizing import fits_broadcast
-from wayside.schemas import PASSAGE_DAY, REST
+from wayside.operators.sizing import lookup_join
+from wayside.schemas import NATURAL_KEY, PASSAGE_DAY, REST
 
 
 def hourly_totals(
@@ -86,9 +86,7 @@ def camera_delivery(
     chosen = passages.filter(day.between(F.lit(first), F.lit(last)))
     if isinstance(cameras, DataFrame):
         wanted = cameras.select("camera_id").distinct()
-        if fits_broadcast(wanted):
-            wanted = F.broadcast(wanted)
-        chosen = chosen.join(wanted, "camera_id", "left_semi")
+        chosen = lookup_join(chosen, wanted, ["camera_id"], "inner", NATURAL_KEY)
     else:
         chosen = chosen.filter(F.col("camera_id").isin(cameras))
     return chosen.withColumn("id", record_id()).select(
