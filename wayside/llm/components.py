@@ -7,7 +7,7 @@ links are ever gathered, and the driver sees only a count and a checksum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayside.llm.common import stored
@@ -20,13 +20,13 @@ def _moved(links: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
+    """May give a link several times; the other step ends with distinct ones."""
     both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
     return (
         _moved(both)
         .withColumn("least", F.least("node", "least"))
         .filter("other > node")
         .select(F.col("other").alias("node"), F.col("least").alias("other"))
-        .distinct()
     )
 
 
@@ -40,9 +40,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     )
 
 
-def _checksum(links: DataFrame) -> tuple:
+def _stored(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The finished links, with their number and a checksum taken as they are written."""
+    seen = Observation()
     total = F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))
-    return tuple(links.agg(F.count("*"), total).first())
+    kept = stored(links.observe(seen, F.count("*").alias("n"), total.alias("total")), "links")
+    return kept, (seen.get["n"], seen.get["total"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -53,11 +56,10 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"))
         .distinct()
     )
-    links = stored(ordered, "links")
-    state = _checksum(links)
+    links, state = _stored(ordered)
     while state[0]:
-        links = stored(_small_star(_large_star(links)), "links")
-        before, state = state, _checksum(links)
+        before = state
+        links, state = _stored(_small_star(_large_star(links)))
         if before == state:
             break
     return links.withColumnRenamed("other", "root")
