@@ -150,7 +150,7 @@ def test_nothing_to_learn_from(make_docs):
 
 @pytest.mark.skipif(not has_tables(), reason="no test tables")
 def test_held_out_text_is_coded_better_than_by_words(llm):
-    docs = llm.read.parquet(SF_DIR.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    docs = llm.read.parquet(SF_DIR.replace("sf0.001", "sf0.1") + "/documents.parquet")
     held = lm_scoring.score_texts(docs).filter("held_out").selectExpr("avg(bits_per_byte) b", "sum(score) s", "sum(base_score) w").first()
     assert held.b < 2.6 and held.s > held.w
 
