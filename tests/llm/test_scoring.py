@@ -224,3 +224,31 @@ def test_sample_is_bounded(llm, make_docs, words):
     for side in (0, 1):
         chosen = [t for t, label in texts if label == side]
         assert 0 < len(chosen) <= 10 and sum(map(len, chosen)) <= 1_500
+
+
+def test_long_text_leaves_the_others_in_the_sample(llm, make_docs, words):
+    from pyspark.sql import functions as F
+
+    rows = [(n, " ".join(words(f"c{n}", 50))) for n in range(40)]
+    labels = llm.createDataFrame([(n, n % 2) for n in range(40)], "doc_id long, quality int")
+    first = {
+        side: min((r.h, r.doc_id) for r in labels.filter(f"quality = {side}").select("doc_id", F.xxhash64("doc_id").alias("h")).collect())[1]
+        for side in (0, 1)
+    }
+    long = {n: f"{side}" * 5_000 + "end" * 5_000 for side, n in first.items()}
+    docs = make_docs([(n, long.get(n, text)) for n, text in rows])
+    texts = quality.labelled_texts(docs, labels, F.lit(True), quality.Limits(bytes=8_000))
+    for side in (0, 1):
+        chosen = [t for t, label in texts if label == side]
+        assert len(chosen) == 20 and sum(map(len, chosen)) <= 8_000
+        assert {t.encode() for n, t in rows if n % 2 == side and n not in long} < set(chosen)
+        assert any(b"end" in t and t.startswith(b"%d" % side * 9) for t in chosen)
+    scores = {r.score for r in quality.score_quality(docs, labels, quality.Limits(bytes=8_000)).collect()}
+    assert len(scores) > 1
+
+
+def test_excerpts_come_from_all_over_a_text():
+    assert quality.even_share([10, 1_000, 30], 240) == 200 and quality.even_share([10, 30], 40) == 30
+    text = b"".join(bytes([n]) * quality.BLOCK for n in range(64))
+    assert set(quality.excerpt(text, 4 * quality.BLOCK)) == {0, 16, 32, 48}
+    assert quality.excerpt(text, 100) == text[:100] and quality.excerpt(text, len(text)) == text

@@ -5,9 +5,11 @@ compressed block by block with each; the difference of the two sizes over the te
 size, and the size itself, become a probability by logistic calibration on labelled
 texts that the dictionaries have not seen.
 
-Only the fit is bounded: ``Limits`` says how many labelled texts, and how many of
-their bytes, reach the driver.  Scoring reads every text whole, in one pass without a
-shuffle.
+Only the fit is bounded: ``Limits`` says how many labelled texts teach, and how many
+of their bytes reach the driver for the dictionaries.  Every sampled text has its
+share of the bytes: where they do not suffice, the longest give blocks from all over
+them instead of all blocks.  The calibration measures sampled texts whole, where they
+lie.  Scoring reads every text whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayside.llm.common import id_remainder, map_batches, text_bytes
+from wayside.llm.common import id_remainder, map_batches, stored, text_bytes
 
 # Bytes compressed at once: a block is short enough for the dictionary to matter,
 # so the difference means the same in short and in long texts.
@@ -44,6 +46,13 @@ class Limits:
     bytes: int = 8 << 20
 
 
+@dataclass(frozen=True)
+class Side:
+    """The sampled texts of one class as (doc_id, digest, size)."""
+
+    texts: list[tuple[int, int, int]]
+
+
 @dataclass(frozen=True)
 class Model:
     """What the executors need: two dictionaries and the calibration."""
@@ -153,31 +162,9 @@ def train_dictionary(texts: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def fit(texts: list[tuple[bytes, int]]) -> Model:
-    """Two thirds of the texts make the dictionaries, the others the calibration.
-
-    With texts of one class only, or none, the score is the share of good texts
-    (one half without any)."""
-    goods = [t for t, label in texts if label == 1]
-    bads = [t for t, label in texts if label == 0]
-    if not goods or not bads:
-        share = (len(goods) + 1) / (len(texts) + 2)
-        width = len(features(compressor(b""), compressor(b""), b""))
-        weights = np.r_[np.log(share / (1 - share)), np.zeros(width)]
-        return Model(b"", b"", np.zeros(width), np.ones(width), weights)
-    learn = [[t for n, t in enumerate(side) if n % 3] or side for side in (goods, bads)]
-    check = [side[::3] for side in (goods, bads)]
-    good, bad = map(train_dictionary, learn)
-    pair = compressor(good), compressor(bad)
-    rows = np.array([features(*pair, t) for side in check for t in side])
-    labels = np.repeat([1.0, 0.0], [len(side) for side in check])
-    return Model(good, bad, *calibrate(rows, labels))
-
-
-def labelled_texts(
-    docs: DataFrame, labels: DataFrame, may_learn: Column, limits: Limits
-) -> list[tuple[bytes, int]]:
-    """A sample in an order that depends on the ids only, within ``limits``.
+def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, limits: Limits) -> list[Side]:
+    """The bad and the good texts to learn from, in an order that depends on the ids
+    (and the texts of one id) only.
 
     Ids labelled both ways, null labels and null ids are left out.
     """
@@ -190,33 +177,122 @@ def labelled_texts(
         .filter("label = other")
         .drop("other")
     )
-    order = F.xxhash64("doc_id")
-    sides = [
-        known.filter(F.col("label") == side).orderBy(order, "doc_id").limit(limits.texts)
-        for side in (0, 1)
-    ]
-    # At most 2 * limits.texts rows of two numbers: small enough to broadcast.
-    chosen = F.broadcast(sides[0].unionByName(sides[1]))
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("content"))
-        .join(chosen, "doc_id")
-        .withColumn("size", F.length("content").cast("long"))
+    # Three numbers a text: its length does not matter here.
+    rows = stored(with_digest(docs).drop("content").join(known, "doc_id"), "labelled")
+    order = [F.xxhash64("doc_id"), "doc_id", "digest"]
+    sides = []
+    for side in (0, 1):
+        own = rows.filter(F.col("label") == side).select("doc_id", "digest", "size")
+        sides.append(Side([tuple(r) for r in own.orderBy(*order).limit(limits.texts).collect()]))
+    return sides
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    content = text_bytes().alias("content")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), content).select(
+        "doc_id",
+        F.xxhash64("content").alias("digest"),
+        F.length("content").cast("long").alias("size"),
+        "content",
     )
-    by_label = Window.partitionBy("label").orderBy(order, "doc_id", "content")
-    bounded = (
-        texts.withColumn("total", F.sum("size").over(by_label.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("number", F.row_number().over(by_label))
-        .filter((F.col("total") <= limits.bytes) & (F.col("number") <= limits.texts))
-        .orderBy(order, "doc_id", "content")
-        .select("content", "label")
+
+
+def even_share(sizes: list[int], limit: int) -> int:
+    """The most bytes that each text may give, so that all give ``limit`` at most."""
+    for number, size in enumerate(sorted(sizes)):
+        share = limit // (len(sizes) - number)
+        if size > share:
+            return share
+        limit -= size
+    return max(sizes, default=0)
+
+
+def excerpt(text: bytes, share: int) -> bytes:
+    """The text, or blocks at even distances where it is longer than ``share``."""
+    if len(text) <= share or share == 0:
+        return text[:share]
+    size = min(BLOCK, share)
+    count, every = share // size, -(-len(text) // BLOCK)
+    starts = (BLOCK * (n * every // count) for n in range(count))
+    return b"".join(text[at : at + size] for at in starts)
+
+
+def _each_text(function, kind: pa.DataType):
+    """Function of (text, share) over rows of (doc_id, digest, share, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = function()
+        for batch in batches:
+            shares = batch.column(2).to_pylist()
+            values = [call(text.as_py(), share) for text, share in zip(batch.column(3), shares)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(values, kind)], ["doc_id", "digest", "value"]
+            )
+
+    return run
+
+
+def over_sample(docs: DataFrame, sides: list[list[tuple]], shares: list[int], task, schema: str) -> list[list]:
+    """What ``task`` makes of the texts of every side, in their order."""
+    keys = {(text[0], text[1], share) for side, share in zip(sides, shares) for text in side}
+    # At most 2 * limits.texts rows of three numbers: small enough to broadcast.
+    chosen = docs.sparkSession.createDataFrame(list(keys), "doc_id long, digest long, share long")
+    rows = (
+        with_digest(docs)
+        .join(F.broadcast(chosen), ["doc_id", "digest"])
+        .select("doc_id", "digest", "share", "content")
     )
-    return [(bytes(row.content), row.label) for row in bounded.toLocalIterator()]
+    made = map_batches(rows, task, f"doc_id long, digest long, value {schema}")
+    # Repeated rows are equal: one of them stands for all.
+    found = {
+        (r.doc_id, r.digest): r.value
+        for r in made.dropDuplicates(["doc_id", "digest"]).toLocalIterator()
+    }
+    return [[found[text[:2]] for text in side] for side in sides]
+
+
+def excerpts(docs: DataFrame, sides: list[list[tuple]], limits: Limits) -> list[list[bytes]]:
+    shares = [even_share([size for *_, size in side], limits.bytes) for side in sides]
+    found = over_sample(docs, sides, shares, _each_text(lambda: excerpt, pa.binary()), "binary")
+    return [[bytes(text) for text in side] for side in found]
+
+
+def labelled_texts(
+    docs: DataFrame, labels: DataFrame, may_learn: Column, limits: Limits
+) -> list[tuple[bytes, int]]:
+    """The sample's texts within ``limits``; every sampled text gives its share."""
+    sides = [side.texts for side in sample(docs, labels, may_learn, limits)]
+    return [(t, label) for label, side in enumerate(excerpts(docs, sides, limits)) for t in side]
 
 
 def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
-    """A model from the labelled documents that are not held out."""
+    """A model from the labelled documents that are not held out.
+
+    Two thirds of the sample make the dictionaries, the others the calibration.  With
+    texts of one class only, or none, the score is the share of good texts (one half
+    without any)."""
     may_learn = id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT
-    return fit(labelled_texts(docs, labels, may_learn, limits))
+    sides = sample(docs, labels, may_learn, limits)
+    bads, goods = (side.texts for side in sides)
+    if not goods or not bads:
+        share = (len(goods) + 1) / (len(goods) + len(bads) + 2)
+        width = len(features(compressor(b""), compressor(b""), b""))
+        weights = np.r_[np.log(share / (1 - share)), np.zeros(width)]
+        return Model(b"", b"", np.zeros(width), np.ones(width), weights)
+    learn = [[t for n, t in enumerate(side) if n % 3] or side for side in (bads, goods)]
+    check = [side[::3] for side in (bads, goods)]
+    bad, good = map(train_dictionary, excerpts(docs, learn, limits))
+
+    def measure():
+        pair = compressor(good), compressor(bad)
+        return lambda text, _: features(*pair, text)
+
+    # Measured whole by the executors: a few numbers a text reach the driver.
+    task = _each_text(measure, pa.list_(pa.float64()))
+    measured = over_sample(docs, check, [0, 0], task, "array<double>")
+    rows = np.array([row for side in measured for row in side])
+    labels_of = np.repeat([0.0, 1.0], [len(side) for side in check])
+    return Model(good, bad, *calibrate(rows, labels_of))
 
 
 def _score_task(model, place: int | None, threshold: float | None):
