@@ -252,3 +252,11 @@ def test_excerpts_come_from_all_over_a_text():
     text = b"".join(bytes([n]) * quality.BLOCK for n in range(64))
     assert set(quality.excerpt(text, 4 * quality.BLOCK)) == {0, 16, 32, 48}
     assert quality.excerpt(text, 100) == text[:100] and quality.excerpt(text, len(text)) == text
+
+
+def test_bounded_sample_keeps_the_share_of_good_texts(llm, make_docs, words):
+    rows = [(n, " ".join(words(f"d{n}", 30))) for n in range(1_400)]
+    labels = llm.createDataFrame([(n, int(n % 7 > 0)) for n in range(1_400)], "doc_id long, quality int")
+    limits = quality.Limits(texts=150)
+    found = quality.score_quality(make_docs(rows), labels, limits).selectExpr("avg(score) score").first()
+    assert abs(found.score - 6 / 7) < 0.05

@@ -9,7 +9,8 @@ Only the fit is bounded: ``Limits`` says how many labelled texts teach, and how
 of their bytes reach the driver for the dictionaries.  Every sampled text has its
 share of the bytes: where they do not suffice, the longest give blocks from all over
 them instead of all blocks.  The calibration measures sampled texts whole, where they
-lie.  Scoring reads every text whole, in one pass without a shuffle.
+lie, and weights them to the ratio of all labelled texts, so a score means the same
+whatever the sample's bounds and the input's size are.  Scoring reads every text whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -48,9 +49,11 @@ class Limits:
 
 @dataclass(frozen=True)
 class Side:
-    """The sampled texts of one class as (doc_id, digest, size)."""
+    """The sampled texts of one class as (doc_id, digest, size), and how many labelled
+    texts they stand for."""
 
     texts: list[tuple[int, int, int]]
+    total: int
 
 
 @dataclass(frozen=True)
@@ -127,9 +130,15 @@ def probability(model: Model, rows: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
 
 
-def calibrate(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, ...]:
-    """Logistic regression by Newton steps: (center, scale, weights)."""
-    center, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
+def calibrate(
+    rows: np.ndarray, labels: np.ndarray, counts: np.ndarray, ridge: float = 0.1
+) -> tuple[np.ndarray, ...]:
+    """Logistic regression by Newton steps: (center, scale, weights).
+
+    A row stands for ``counts`` texts."""
+    counts = counts / counts.mean()
+    center = np.average(rows, axis=0, weights=counts)
+    scale = np.sqrt(np.average((rows - center) ** 2, axis=0, weights=counts)) + 1e-9
     design = np.c_[np.ones(len(rows)), np.clip((rows - center) / scale, -6, 6)]
     weights = np.zeros(design.shape[1])
     penalty = np.full(len(weights), ridge)
@@ -137,12 +146,12 @@ def calibrate(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> tuple
 
     def loss(w: np.ndarray) -> float:
         z = design @ w
-        return float(np.sum(np.logaddexp(0, z) - labels * z) + 0.5 * np.sum(penalty * w * w))
+        return float(np.sum(counts * (np.logaddexp(0, z) - labels * z)) + 0.5 * np.sum(penalty * w * w))
 
     for _ in range(50):
         chance = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        slope = design.T @ (chance - labels) + penalty * weights
-        curve = (design * (chance * (1 - chance))[:, None]).T @ design + np.diag(penalty)
+        slope = design.T @ (counts * (chance - labels)) + penalty * weights
+        curve = (design * (counts * chance * (1 - chance))[:, None]).T @ design + np.diag(penalty)
         step, size = np.linalg.solve(curve, slope), 1.0
         while size > 1e-6 and loss(weights - size * step) > loss(weights):
             size /= 2
@@ -179,11 +188,13 @@ def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, limits: Limits
     )
     # Three numbers a text: its length does not matter here.
     rows = stored(with_digest(docs).drop("content").join(known, "doc_id"), "labelled")
+    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     order = [F.xxhash64("doc_id"), "doc_id", "digest"]
     sides = []
     for side in (0, 1):
         own = rows.filter(F.col("label") == side).select("doc_id", "digest", "size")
-        sides.append(Side([tuple(r) for r in own.orderBy(*order).limit(limits.texts).collect()]))
+        first = own.orderBy(*order).limit(limits.texts).collect()
+        sides.append(Side([tuple(r) for r in first], totals.get(side, 0)))
     return sides
 
 
@@ -275,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Mode
     sides = sample(docs, labels, may_learn, limits)
     bads, goods = (side.texts for side in sides)
     if not goods or not bads:
-        share = (len(goods) + 1) / (len(goods) + len(bads) + 2)
+        share = (sides[1].total + 1) / (sides[0].total + sides[1].total + 2)
         width = len(features(compressor(b""), compressor(b""), b""))
         weights = np.r_[np.log(share / (1 - share)), np.zeros(width)]
         return Model(b"", b"", np.zeros(width), np.ones(width), weights)
@@ -291,8 +302,9 @@ def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Mode
     task = _each_text(measure, pa.list_(pa.float64()))
     measured = over_sample(docs, check, [0, 0], task, "array<double>")
     rows = np.array([row for side in measured for row in side])
-    labels_of = np.repeat([0.0, 1.0], [len(side) for side in check])
-    return Model(good, bad, *calibrate(rows, labels_of))
+    sizes = [len(side) for side in check]
+    stands_for = np.repeat([side.total / size for side, size in zip(sides, sizes)], sizes)
+    return Model(good, bad, *calibrate(rows, np.repeat([0.0, 1.0], sizes), stands_for))
 
 
 def _score_task(model, place: int | None, threshold: float | None):
