@@ -381,3 +381,39 @@ def test_licences_are_found(make_docs, words, odd_rows):
         if r.doc_id == 20:
             assert r.coverage == 1 and r.end_word - r.first_word == size == r.n_aligned
     assert license_scan.scan_licenses(make_docs([])).count() == 0
+
+
+def test_licences_with_long_insertions(make_docs, words):
+    apache = "Licensed under the terms and conditions of the Apache License, Version 2.0"
+    notice = license_scan.TEMPLATES["Apache-2.0"].split()
+    half = len(notice) // 2
+    rows = [(1, apache)]
+    for doc_id, length in ((2, half), (3, 20 * half)):
+        rows.append((doc_id, " ".join([*notice[:half], *words("inserted", length), *notice[half:]])))
+    rows.append((4, " ".join([*words("before", 500), *notice, *words("after", 500)])))
+    found = license_scan.scan_licenses(make_docs(rows)).collect()
+    got = {(r.doc_id, r.license): r for r in found}
+    assert len(found) == len(got)
+    line = got[1, "Apache-2.0-line"]
+    assert line.coverage == 1 and (line.first_word, line.end_word) == (0, 12)
+    size = len(license_scan.words_of(" ".join(notice).encode()))
+    for doc_id, more in ((2, half), (3, 20 * half), (4, 0)):
+        row = got[doc_id, "Apache-2.0"]
+        assert row.coverage == 1 and row.end_word - row.first_word == size + more
+
+
+def test_coverage_does_not_hang_on_windows():
+    chosen = random.Random(12)
+    template = license_scan.Template("t", " ".join(chosen.choices("abcdefgh", k=15)))
+    for _ in range(300):
+        text = [w.encode() for w in chosen.choices("abcdefghxyz", k=chosen.randrange(8, 60))]
+        best = [0] * 16
+        for word in text:
+            row = [0]
+            for n, own in enumerate(template.words):
+                row.append(best[n] + 1 if own == word else max(best[n + 1], row[n]))
+            best = row
+        found = list(template.scan(text, Counter(text), 60))
+        assert bool(found) == (best[-1] >= 9)
+        assert all(p[1] <= q[0] for p, q in zip(found, found[1:]))
+        assert all(n >= 9 and 0 <= a < b <= len(text) for a, b, n in found)

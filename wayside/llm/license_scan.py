@@ -6,8 +6,11 @@ gaps between them are aligned in the same way, where other words are unique.  Th
 share of the template's words that are aligned is its coverage.
 
 Whole texts are scanned.  A template can only be covered where its words are, so a
-text is aligned in windows around the template word that it has least often; a text
-that lacks too many of a template's words cannot reach the coverage and is passed over.
+text is first aligned in windows around the template word that it has least often; a
+text that lacks too many of a template's words cannot reach the coverage and is passed
+over.  Between the places found, the longest common subsequence with the template says
+whether it is covered with longer insertions: their length has no bound.  A place of
+which words are missing at a side grows there until nothing more aligns.
 """
 
 from __future__ import annotations
@@ -128,18 +131,104 @@ def _once(words: list[bytes], start: int, end: int) -> dict[bytes, int]:
     return {word: at for word, at in seen.items() if at >= 0}
 
 
+def covered(words: list[bytes], masks: dict[bytes, int], size: int, places: range, need: int) -> int:
+    """How many of ``places`` it takes, in order, until ``need`` words of the template are
+    in a common subsequence with it; 0 if all are too few.
+
+    Bit-parallel: a row's zeros are the template's words that lengthen the subsequence."""
+    row = full = (1 << size) - 1
+    for number, at in enumerate(places):
+        mask = masks.get(words[at])
+        if mask is None:
+            continue
+        hit = row & mask
+        row = (row + hit | row & ~mask) & full
+        if hit and size - row.bit_count() >= need:
+            return number + 1
+    return 0
+
+
+def common(words: list[bytes], start: int, end: int, masks: dict[bytes, int], size: int) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence; places in words count from ``start``."""
+    own = [at for at in range(start, end) if words[at] in masks]
+    # The rows of covered(), walked back from the last: a number for each word.
+    row = full = (1 << size) - 1
+    rows = [row]
+    for at in own:
+        hit = row & masks[words[at]]
+        row = (row + hit | row & ~masks[words[at]]) & full
+        rows.append(row)
+
+    def length(i: int, n: int) -> int:
+        return n - (rows[i] & (1 << n) - 1).bit_count()
+
+    pairs, i, n = [], len(own), size
+    while i and n:
+        if masks[words[own[i - 1]]] >> n - 1 & 1:
+            i, n = i - 1, n - 1
+            pairs.append((own[i] - start, n))
+        elif length(i - 1, n) >= length(i, n - 1):
+            i -= 1
+        else:
+            n -= 1
+    return pairs[::-1]
+
+
 class Template:
     def __init__(self, name: str, text: str) -> None:
         self.name = name
         self.words = words_of(text.encode())
         self.counts = Counter(self.words)
         self.places = {w: [n for n, x in enumerate(self.words) if x == w] for w in self.counts}
+        size = len(self.words)
+        self.masks = {w: sum(1 << n for n in at) for w, at in self.places.items()}
+        self.mirrored = {w: sum(1 << size - 1 - n for n in at) for w, at in self.places.items()}
 
     def scan(self, words: list[bytes], counts: Counter, percent: int) -> Iterator[tuple]:
         """(first word, end, words aligned) of every place that covers the template."""
         reachable = sum(min(n, counts[w]) for w, n in self.counts.items())
         if 100 * reachable < percent * len(self.words):
             return
+        near, last = list(self.near(words, counts, percent)), 0
+        ends = [*(start for start, *_ in near[1:]), len(words)]
+        for place, end in zip(near, ends):
+            place = self.grown(words, place, last, end)
+            yield from self.far(words, last, place[0], percent)
+            yield place
+            last = place[1]
+        yield from self.far(words, last, len(words), percent)
+
+    def far(self, words: list[bytes], low: int, high: int, percent: int) -> Iterator[tuple]:
+        """Places in low … high with insertions of any length, each as short as can be."""
+        size = len(self.words)
+        need = max(1, -(-percent * size // 100))
+        while taken := covered(words, self.masks, size, range(low, high), need):
+            end = low + taken
+            back = covered(words, self.mirrored, size, range(end - 1, low - 1, -1), need)
+            pairs = align(words[end - back : end], self.words)
+            if len(pairs) < need:
+                # Where repeated words hide it from the anchors.
+                pairs = common(words, end - back, end, self.masks, size)
+            start = end - back + pairs[0][0]
+            place = self.grown(words, (start, end - back + pairs[-1][0] + 1, len(pairs)), low, high)
+            yield place
+            low = place[1]
+
+    def grown(self, words: list[bytes], place: tuple, low: int, high: int) -> tuple:
+        """The place within low … high, wider as long as a template's length beyond its
+        sides has more words of the template."""
+        start, end, aligned = place
+        step = len(self.words) + len(self.words) // SLACK + 1
+        while aligned < len(self.words):
+            first, last = max(low, start - step), min(high, end + step)
+            pairs = align(words[first:last], self.words)
+            if len(pairs) <= aligned:
+                break
+            start, end, aligned = first + pairs[0][0], first + pairs[-1][0] + 1, len(pairs)
+        return start, end, aligned
+
+    def near(self, words: list[bytes], counts: Counter, percent: int) -> Iterator[tuple]:
+        """Places in windows of the template's length and a part more."""
         # Words whose absence would still leave enough must not be the only seeds.
         spare = len(self.words) - -(-percent * len(self.words) // 100)
         seeds, skipped = [], 0
