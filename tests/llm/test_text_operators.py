@@ -417,3 +417,61 @@ def test_coverage_does_not_hang_on_windows():
         assert bool(found) == (best[-1] >= 9)
         assert all(p[1] <= q[0] for p, q in zip(found, found[1:]))
         assert all(n >= 9 and 0 <= a < b <= len(text) for a, b, n in found)
+
+
+def test_usual_notices_have_templates(make_docs):
+    gnu = (
+        "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "{1} General Public License as published by the Free Software Foundation; either version {2} of the "
+        "License, or (at your option) any later version. This {0} is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU {1} General Public License for more details."
+    )
+    bsd = (
+        "* Redistributions of source code must retain the above copyright notice, this list of conditions and "
+        "the following disclaimer. * Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution."
+    )
+    use = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted "
+        "provided that the following conditions are met: "
+    )
+    name = (
+        " * Neither the name of Example Inc. nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission."
+    )
+    mpl = (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+        "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    )
+    free = (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, "
+        "modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    )
+    zero = (
+        "To the extent possible under law, Jo has waived all copyright and related or neighboring rights to "
+        "this work."
+    )
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License."
+    texts = {
+        "GPL-2.0": gnu.format("program", "", "2"),
+        "LGPL-2.1": gnu.format("library", "Lesser", "2.1"),
+        "LGPL-3.0": gnu.format("program", "Lesser", "3"),
+        "AGPL-3.0": gnu.format("program", "Affero", "3"),
+        "BSD-2-Clause": use + bsd,
+        "BSD-3-Clause": use + bsd + name,
+        "MPL-2.0": mpl,
+        "Unlicense": free,
+        "CC0-1.0": zero,
+        "CC-BY-4.0": cc.format("Attribution"),
+        "CC-BY-SA-4.0": cc.format("Attribution-ShareAlike"),
+        "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+        "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    }
+    found = license_scan.scan_licenses(make_docs(list(enumerate(texts.values())))).collect()
+    for number, name in enumerate(texts):
+        rows = [r for r in found if r.doc_id == number]
+        # Texts of one family cover each other: the most aligned words, then the coverage.
+        assert max(rows, key=lambda r: (r.n_aligned, r.coverage)).license == name
