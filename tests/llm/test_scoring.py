@@ -155,6 +155,15 @@ def test_held_out_text_is_coded_better_than_by_words(llm):
     assert held.b < 2.6 and held.s > held.w
 
 
+@pytest.mark.skipif(not has_tables(), reason="no test tables")
+def test_code_length_of_a_small_input(llm):
+    """On so little text the words' frequencies are still ahead: see the README."""
+    docs = llm.read.parquet(SF_DIR.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    held = lm_scoring.score_texts(docs).filter("held_out").selectExpr("avg(bits_per_byte) b", "sum(score) s", "sum(base_score) w").first()
+    assert abs(held.b - 2.237) < 0.005
+    assert abs(held.s / held.w - 240_360 / 234_375) < 0.005
+
+
 # ----------------------------------------------------------------------- quality
 
 
