@@ -21,8 +21,8 @@ def rewrite_history(
     """Masked copy of the days first … last, or of all days, under ``target``.
 
     Masking needs no shuffle: every task rewrites the files it read.  A long
-    history can be done in ranges of days; doing a range again replaces it.  The
-    table is switched to the new folder with ``publish`` when all is written.
+    history can be done in ranges of days; doing a range again replaces it.
+    Nothing switches to the copy: jobs read it once they are given its folder.
     """
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("write the masked copy to another folder")
