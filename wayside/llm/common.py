@@ -24,6 +24,23 @@ ASCII_LOWER_BYTES = bytes(ASCII_LOWER.get(b, b) for b in range(256))
 SPACE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE_WORD_SQL = r"[^\x20\x09-\x0D]+"
 
+# Bytes of text whose words are held at once.
+BLOCK_BYTES = 1 << 18
+
+
+def text_blocks(text: bytes, word: re.Pattern, size: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A text a block at a time; blocks end where no word goes on."""
+    if len(text) <= size:
+        yield text
+        return
+    at = 0
+    while at < len(text):
+        end = at + size
+        cut = word.match(text, end) if end < len(text) else None
+        end = cut.end() if cut else end
+        yield text[at:end]
+        at = end
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the settings of the library and bounded Arrow batches."""
@@ -72,6 +89,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 __all__ = [
     "ASCII_LOWER",
     "ASCII_LOWER_BYTES",
+    "BLOCK_BYTES",
     "SPACE_WORD",
     "SPACE_WORD_SQL",
     "checkpointed",
@@ -81,5 +99,6 @@ __all__ = [
     "prepared",
     "stored",
     "table",
+    "text_blocks",
     "text_bytes",
-]
+    ]

@@ -16,7 +16,10 @@ from wayside.llm import (
     lm_scoring,
     minhash_join,
     packing,
+    simhash_balls,
+    source_divergence,
     suffix_dedup,
+    target_resampling,
     token_counts,
 )
 from wayside.llm.common import table
@@ -180,3 +183,132 @@ def chat_windows_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     windows = chat_windows.format_conversations(turns.unionByName(control), path)
     return chat_windows.window_digests(windows)
+
+
+@query("op11_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_balls.link_fingerprints(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 goes byte by byte through a table of 256 values, once per distinct feature.
+_RESAMPLING_SQL = r"""
+    with crc_table as (
+        select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as tab
+        from range(256) as t(b)
+    ), texts as (
+        select row_number() over () as r, doc_id, "text" as body, true as is_doc from documents
+        union all
+        select row_number() over (), null, "text", false from benchmark
+    ), words as (
+        select r, doc_id, is_doc, regexp_extract_all(
+            translate(coalesce(body, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from texts
+    ), sized as (
+        select *, unnest([1, 2, 3]) as k from words
+    ), features as (
+        select r, is_doc, array_to_string(w[i:i + k - 1], ' ') as f
+        from sized, unnest(range(1, greatest(1, len(w) - k + 2))) as t(i)
+    ), counted as (
+        select r, is_doc, f, count(*) as n from features group by all
+    ), spelled as (
+        select f, hex(encode(f)) as digits from (select distinct f from counted)
+    ), hashed as (
+        select f, xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(range(1, len(digits), 2),
+                lambda i: cast('0x' || substr(digits, i, 2) as bigint))),
+            lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) % 10000 as bucket
+        from spelled, crc_table
+    ), buckets as (
+        select bucket, coalesce(sum(n) filter (is_doc), 0) as s, coalesce(sum(n) filter (not is_doc), 0) as t
+        from counted join hashed using (f) group by bucket
+    ), totals as (
+        select sum(s) as all_s, sum(t) as all_t from buckets
+    ), gains as (
+        select bucket, cast(floor(1000 * ln(
+            (t + 1)::double * (all_s + 10000)::double / ((s + 1)::double * (all_t + 10000)::double))) as bigint) as gain
+        from buckets, totals
+    ), weights as (
+        select r, sum(n) as n_features, sum(n * gain) as weight
+        from counted join hashed using (f) join gains using (bucket) where is_doc group by r
+    ), scored as (
+        select doc_id, len(w) >= 20 as able, cast(coalesce(n_features, 0) as bigint) as n_features,
+               cast(coalesce(weight, 0) as bigint) as weight,
+               cast('0x' || sha256('42:' || coalesce(cast(doc_id as varchar), ''))[1:8] as bigint) as h
+        from words left join weights using (r) where is_doc
+    ), noisy as (
+        select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score
+        from scored
+    ), placed as (
+        select *, row_number() over (partition by able order by score desc, doc_id nulls first) as place,
+               count(*) over (partition by able) as n
+        from noisy
+    )
+    select doc_id, n_features, weight, score, case when able and place <= 5 * n // 100 then place end as rank
+    from placed
+"""
+
+
+@query("op12_target_resampling", _RESAMPLING_SQL)
+def drawn_towards_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return target_resampling.rank_by_importance(docs, items)
+
+
+# Cells are the counts of every kept term in every group of its language.
+_DIVERGENCE_SQL = r"""
+    with d as (
+        select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+               translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body
+        from documents
+    ), words as (
+        select r, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from d
+    ), per as (
+        select lang, source, term, count(*) as n, count(distinct r) as docs from words group by all
+    ), kept as (
+        select lang, term, sum(n) as n from per group by lang, term having sum(docs) >= 3
+    ), sizes as (
+        select lang, count(*) as v, sum(n) as n from kept group by lang
+    ), groups as (
+        select distinct lang, source from d
+    ), cells as (
+        select g.lang, g.source, k.term, coalesce(p.n, 0) as n
+        from groups g join kept k on g.lang = k.lang
+        left join per p on p.lang = g.lang and p.source = g.source and p.term = k.term
+    ), totals as (
+        select lang, source, sum(n) as n from cells group by lang, source
+    ), shares as (
+        select c.lang, c.source, c.term, c.n,
+               1 + (1000000000::hugeint * (c.n + 1)) // (t.n + s.v)::hugeint as p
+        from cells c join totals t on c.lang = t.lang and c.source = t.source
+        join sizes s on s.lang = c.lang
+    ), of_lang as (
+        select k.lang, k.term, 1 + (1000000000::hugeint * (k.n + 1)) // (s.n + s.v)::hugeint as q
+        from kept k join sizes s on s.lang = k.lang
+    ), priced as (
+        select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+        from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+        group by all
+    ), pairs as (
+        select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+        from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join priced p on p.lang = a.lang and p.source = a.source and p.item = b.source
+    ), terms as (
+        select s.lang, s.source, 'term' as part, s.term as item,
+               cast((p - q) * (p - q) // q as bigint) as value
+        from shares s join of_lang o on s.lang = o.lang and s.term = o.term
+        where s.n > 0 and p > q
+    ), numbered as (
+        select *, cast(row_number() over (
+            partition by lang, source, part order by value desc, item) as integer) as rank
+        from (select * from pairs union all select * from terms)
+    )
+    select lang, source, part, item, value, rank from numbered where part = 'pair' or rank <= 200
+"""
+
+
+@query("op13_source_divergence", _DIVERGENCE_SQL)
+def source_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit_sources(table(spark, sf_dir, "documents"))
