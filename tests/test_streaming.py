@@ -7,12 +7,13 @@ from datetime import datetime, timedelta
 import pytest
 
 from tests.test_ingest import FLAT, ID, NOW
+from wayside.plans.counts import read_counts
 from wayside.plans.ingest import store_new
-from wayside.sources.files import only_writer
+from wayside.sources.lease import only_writer
 from wayside.sources.passages import read_passages
 from wayside.sources.payloads import stream_payloads
 from wayside.streaming.ingest import start_ingest
-from wayside.streaming.windows import read_counts, start_counts, start_storing
+from wayside.streaming.windows import start_counts, start_storing
 
 
 def payload_file(folder, name, *payloads):

@@ -13,7 +13,13 @@ from wayside.operators.traffic import passage_hour
 from wayside.plans.refresh import JOBS, aggregate_days, refresh, replace_days, run_days
 from wayside.plans.rewrite import rewrite_history
 from wayside.sources.passages import append_passages, read_passages
-from wayside.sources.reference_data import load_cameras, load_taxi_areas, replace_table
+from wayside.sources.reference_data import (
+    BrokenTable,
+    load_cameras,
+    load_taxi_areas,
+    read_helper,
+    replace_table,
+)
 from wayside.sources.sinks import write_delivery_csv, write_hourly_csv
 
 DAY = date(2024, 3, 12)
@@ -148,10 +154,23 @@ def test_area_file_replaces_the_table(spark, folder):
             out.write("\n".join(["id,gebiedstype,gebied,camera_id", *lines]))
         return replace_table(load_taxi_areas(spark, path), "taxi_areas", folder + "/tables")
 
-    assert load("1,Stadsbreed,Stad,ANPR-1", "2,Stadsbreed,Stad,") == 2
+    def ids(session):
+        return [r.id for r in read_helper(session, "taxi_areas", folder + "/tables").collect()]
+
+    assert load("1,Stadsbreed,Stad,ANPR-1", "2,Stadsbreed,Stad,ANPR-3") == 2
+    pinned = read_helper(spark, "taxi_areas", folder + "/tables")
     assert load("3,Stadsdelen,Oost,ANPR-2") == 1
-    assert [r.id for r in spark.table("taxi_areas").collect()] == ["3"]
-    spark.sql("DROP VIEW taxi_areas")
+    assert ids(spark) == ids(spark.newSession()) == ["3"]
+    assert pinned.count() == 2  # a reader keeps to what it began with
+    long = "x" * 256
+    for broken in (
+        ["4,Stadsdelen,Oost,ANPR-2"] * 2,
+        ["4,Stadsdelen,Oost,", "5,a,b,c", "6,a,b,c"],
+        [f"4,Stadsdelen,Oost,{long}"] + ["5,a,b,c"] * 3,
+    ):
+        with pytest.raises(BrokenTable):
+            load(*broken)
+    assert ids(spark) == ["3"]
 
 
 HOURS = ("date date, year int, week int, hour int, camera_id string, camera_naam string,"

@@ -19,11 +19,16 @@ from wayside.operators.export import camera_delivery, hourly_totals
 from wayside.operators.traffic import passage_hour
 from wayside.plans.ingest import ingest_batch
 from wayside.plans.refresh import JOBS, read_table, refresh
-from wayside.plans.rewrite import rewrite_history
+from wayside.plans.rewrite import mask_table
 from wayside.session import build_session
 from wayside.sources.passages import read_passages
 from wayside.sources.payloads import stream_payloads
-from wayside.sources.reference_data import load_cameras, load_taxi_areas, replace_table
+from wayside.sources.reference_data import (
+    load_cameras,
+    load_taxi_areas,
+    read_helper,
+    replace_table,
+)
 from wayside.sources.sinks import write_delivery_csv, write_hourly_csv
 from wayside.streaming.ingest import start_ingest
 
@@ -36,19 +41,27 @@ def _ingest(spark: SparkSession, args) -> str:
         raise SystemExit("give the payloads of at least one version: --v1, --v2")
     if args.checkpoint:
         streams = {version: stream_payloads(spark, path) for version, path in paths.items()}
-        start_ingest(streams, *places, args.checkpoint, args.now).awaitTermination()
-    else:
-        lines = {version: spark.read.text(path) for version, path in paths.items()}
-        ingest_batch(lines, *places, batch=args.batch, now=args.now)
-    return "ingest finished"
+        start_ingest(streams, *places, args.checkpoint, args.now, wait=args.wait).awaitTermination()
+        return "ingest finished"
+    if not args.batch:
+        raise SystemExit("give the batch a label of its own: --batch")
+    lines = {version: spark.read.text(path) for version, path in paths.items()}
+    new = ingest_batch(lines, *places, batch=args.batch, now=args.now, wait=args.wait)
+    return "ingest finished" if new else f"batch {args.batch} was finished before"
+
+
+def _lookup(spark: SparkSession, args, name: str) -> DataFrame:
+    """The helper table loaded last, or the one in a CSV file given for this run."""
+    path = getattr(args, name)
+    if path:
+        return {"cameras": load_cameras, "areas": load_taxi_areas}[name](spark, path)
+    if not args.helpers:
+        raise SystemExit(f"give --helpers, the folder of the loaded tables, or --{name}")
+    return read_helper(spark, {"cameras": "cameras", "areas": "taxi_areas"}[name], args.helpers)
 
 
 def _refresh(spark: SparkSession, args) -> str:
-    readers = {
-        "cameras": lambda: load_cameras(spark, args.cameras),
-        "areas": lambda: load_taxi_areas(spark, args.areas),
-    }
-    lookups: dict[str, DataFrame] = {name: readers[name]() for name in JOBS[args.table].lookups}
+    lookups = {name: _lookup(spark, args, name) for name in JOBS[args.table].lookups}
     done = refresh(
         args.table,
         read_passages(spark, args.passages),
@@ -61,13 +74,14 @@ def _refresh(spark: SparkSession, args) -> str:
 
 
 def _rewrite(spark: SparkSession, args) -> str:
-    rewrite_history(spark, args.passages, args.output, args.first, args.last)
-    return f"masked copy in {args.output}"
+    mask_table(spark, args.passages, args.wait)
+    return f"{args.passages} is masked"
 
 
 def _load(spark: SparkSession, args) -> str:
     reader = {"cameras": load_cameras, "taxi_areas": load_taxi_areas}[args.table]
-    return f"{replace_table(reader(spark, args.csv), args.table, args.output)} rows"
+    rows = replace_table(reader(spark, args.csv), args.table, args.helpers, args.wait)
+    return f"{rows} rows"
 
 
 def _export(spark: SparkSession, args) -> str:
@@ -112,22 +126,24 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--zone", required=True, help="IANA name of the roadside's time zone")
         sub.add_argument("--today", type=day)
         sub.add_argument("--now", type=datetime.fromisoformat)
+        sub.add_argument(
+            "--wait", type=float, default=0, help="seconds to wait for a run that writes the same"
+        )
         return sub
 
     sub = job("ingest", _ingest, "passages", "invalid", "duplicates")
     sub.add_argument("--v1", help="flat payloads")
     sub.add_argument("--v2", help="nested payloads")
     sub.add_argument("--checkpoint", help="read the payload folder as a stream")
-    sub.add_argument("--batch", default="0", help="label of a batch run")
+    sub.add_argument("--batch", help="label of a batch run; stands for its content")
     sub = job("refresh", _refresh, "passages", "output")
     sub.add_argument("--table", choices=sorted(JOBS), required=True)
-    sub.add_argument("--cameras")
-    sub.add_argument("--areas")
+    sub.add_argument("--helpers", help="folder that the job load fills")
+    sub.add_argument("--cameras", help="CSV file to use instead of the loaded table")
+    sub.add_argument("--areas", help="CSV file to use instead of the loaded table")
     sub.add_argument("--from-date", type=day)
-    sub = job("rewrite-history", _rewrite, "passages", "output")
-    sub.add_argument("--first", type=day)
-    sub.add_argument("--last", type=day)
-    sub = job("load", _load, "csv", "output")
+    job("rewrite-history", _rewrite, "passages")
+    sub = job("load", _load, "csv", "helpers")
     sub.add_argument("--table", choices=["cameras", "taxi_areas"], required=True)
     sub = job("export", _export, "passages", "hours", "output")
     sub.add_argument("--year", type=int)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wayside.functions.privacy import mask
 from wayside.schemas import PASSAGE_DAY
+from wayside.sources.batches import batch_number
+from wayside.sources.generations import current_folder, fresh_folder, retire, switch
+from wayside.sources.lease import only_writer
 from wayside.sources.passages import read_passages
 
 
@@ -22,7 +26,7 @@ def rewrite_history(
 
     Masking needs no shuffle: every task rewrites the files it read.  A long
     history can be done in ranges of days; doing a range again replaces it.
-    Nothing switches to the copy: jobs read it once they are given its folder.
+    Nothing switches to the copy: ``begin_masking`` does that.
     """
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("write the masked copy to another folder")
@@ -34,3 +38,51 @@ def rewrite_history(
         .parquet(target)
     )
     return read_passages(spark, target)
+
+
+@dataclass(frozen=True)
+class Masking:
+    """A masked generation of ``table`` that has all batches up to ``through``, and was
+    made from the generation in ``source``."""
+
+    spark: SparkSession
+    table: str
+    source: str
+    target: str
+    through: int
+
+    def finish(self, wait: float = 0) -> None:
+        """Mask the batches that came since, then switch the table over."""
+        with only_writer(self.spark, self.table, wait=wait) as lease:
+            if current_folder(self.spark, self.table) != self.source:
+                raise RuntimeError(f"{self.table} was replaced while it was masked")
+            number = batch_number()
+            later = read_passages(self.spark, self.table).filter(number > self.through)
+            mask(later).write.mode("append").partitionBy(PASSAGE_DAY).parquet(self.target)
+            switch(lease, self.target)
+            retire(lease)
+
+
+def begin_masking(spark: SparkSession, table: str, wait: float = 0) -> Masking:
+    """Mask all stored days into a new generation.
+
+    The lease is held only while the files are listed, so batches go on being added to
+    the table meanwhile; files of batches that began later are told by their number.
+    Until ``finish``, readers keep to the old rows.
+    """
+    with only_writer(spark, table, wait=wait) as lease:
+        source, through = current_folder(spark, table), lease.number
+        stored = read_passages(spark, table)
+    target = fresh_folder(table)
+    (
+        mask(stored.filter(batch_number() <= through))
+        .write.partitionBy(PASSAGE_DAY)
+        .parquet(target)
+    )
+    return Masking(spark, table, source, target, through)
+
+
+def mask_table(spark: SparkSession, table: str, wait: float = 0) -> DataFrame:
+    """All passages masked in place; every reader that comes later sees masked rows."""
+    begin_masking(spark, table, wait).finish(wait)
+    return read_passages(spark, table)

@@ -1,41 +1,120 @@
-"""Questions to the file system the session writes to."""
+"""Small files through the file system the session writes to.
+
+Whatever store holds the tables holds these files too; nothing here opens a local path.
+Creating a file once and renaming over a file are single steps on HDFS.  A local file
+system looks first and creates then, which is enough for tests on one machine.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import json
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _opened(spark: SparkSession, path: str):
+    """The path and its file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, system = _opened(spark, path)
+    return system.exists(target)
+
+
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder was committed."""
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Sorted names in a folder; none where it does not exist."""
+    target, system = _opened(spark, folder)
+    if not system.exists(target):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(target))
+
+
+def data_files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(subfolder, name) of the files of a partitioned write, one level deep."""
+    target, system = _opened(spark, folder)
+    found = []
+    for status in system.listStatus(target) if system.exists(target) else []:
+        if status.isDirectory():
+            names = (s.getPath().getName() for s in system.listStatus(status.getPath()))
+            found += [(status.getPath().getName(), n) for n in names if n[0] not in "._"]
+    return sorted(found)
+
 
+def modified(spark: SparkSession, path: str) -> float:
+    """Seconds since 1970."""
+    target, system = _opened(spark, path)
+    return system.getFileStatus(target).getModificationTime() / 1000
 
-@contextmanager
-def only_writer(spark: SparkSession, table: str) -> Iterator[None]:
-    """Hold the table's lock file while writing.
 
-    The file system creates it once only, so a second writer stops before it writes.
-    A run that was killed leaves the file behind; it is removed by hand, after making
-    sure that no run is left.
-    """
-    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}.lock")
-    system = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+def _write(system, target, text: str) -> None:
+    out = system.create(target, False)
     try:
-        created = system.createNewFile(lock)
-    except Py4JJavaError:  # some file systems raise instead
-        created = False
-    if not created:
-        raise RuntimeError(f"another run writes {table}, or left {lock.toString()} behind")
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_new(spark: SparkSession, path: str, content: dict) -> bool:
+    """Create a file; false where it exists."""
+    target, system = _opened(spark, path)
+    try:
+        _write(system, target, json.dumps(content))
+    except Py4JJavaError:
+        if system.exists(target):
+            return False
+        raise
+    return True
+
+
+def write_over(spark: SparkSession, path: str, content: dict) -> None:
+    """Replace a file in one step: readers find the old content or the new."""
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    source, system = _opened(spark, fresh)
+    target, _ = _opened(spark, path)
+    _write(system, source, json.dumps(content))
+    options = spark._jvm.org.apache.hadoop.fs.Options
+    chosen = spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
+    chosen[0] = getattr(options, "Rename").OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        system.getUri(), spark._jsc.hadoopConfiguration()
+    )
+    context.rename(source, target, chosen)
+
+
+def read_content(spark: SparkSession, path: str) -> dict | None:
+    """None where the file does not exist, or is created but not written yet."""
+    target, system = _opened(spark, path)
+    if not system.exists(target):
+        return None
+    stream = system.open(target)
     try:
-        yield
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
-        system.delete(lock, False)
+        stream.close()
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
 
 
-def is_finished(spark: SparkSession, path: str) -> bool:
-    """Whether a write to this folder was committed."""
-    return path_exists(spark, f"{path}/_SUCCESS")
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file, making the folder it goes to."""
+    old, system = _opened(spark, source)
+    new, _ = _opened(spark, target)
+    system.mkdirs(new.getParent())
+    if not system.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, system = _opened(spark, path)
+    system.delete(target, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayside.schemas import PASSAGE, PASSAGE_DAY
+from wayside.sources.generations import current_folder
 
 STORED = T.StructType([*PASSAGE.fields, T.StructField(PASSAGE_DAY, T.DateType())])
 
@@ -20,8 +21,11 @@ def with_day(passages: DataFrame) -> DataFrame:
 def read_passages(
     spark: SparkSession, path: str, first: date | None = None, last: date | None = None
 ) -> DataFrame:
-    """The table, or its UTC days first … last (pruned on the folder name)."""
-    passages = spark.read.schema(STORED).parquet(path)
+    """The table, or its UTC days first … last (pruned on the folder name).
+
+    The frame keeps to the generation of the table that was there when it was made.
+    """
+    passages = spark.read.schema(STORED).parquet(current_folder(spark, path))
     if first is not None:
         passages = passages.filter(F.col(PASSAGE_DAY) >= F.lit(first))
     if last is not None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayside.schemas import CAMERA, TAXI_AREA
+from wayside.sources.files import path_exists
+from wayside.sources.generations import current_folder, fresh_folder, retire, switch
+from wayside.sources.lease import only_writer
 
 # Header of the camera file.
 CAMERA_CSV = [
@@ -69,18 +70,56 @@ def load_taxi_areas(spark: SparkSession, path: str) -> DataFrame:
     return _read_text_csv(spark, path, TAXI_AREA.fieldNames())
 
 
-def publish(spark: SparkSession, name: str, path: str, schema: T.StructType) -> None:
-    """Point the view ``name`` at a finished folder.  Readers see the old table
-    or the new one, never a mixture."""
-    columns = ", ".join(f"`{field}`" for field in schema.fieldNames())
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM parquet.`{path}`")
+SCHEMAS = {"cameras": CAMERA, "taxi_areas": TAXI_AREA}
+
+# Columns that must be there, longest text, and the column without repeats.
+REQUIRED = {"taxi_areas": ["id", "gebiedstype", "gebied", "camera_id"]}
+LONGEST = {"taxi_areas": 255}
+UNIQUE = {"taxi_areas": "id"}
+
+
+class BrokenTable(ValueError):
+    """A helper table breaks its rules; the table before it stays."""
+
 
+def broken_rules(table: DataFrame, name: str) -> dict[str, int]:
+    """How many rows break each rule of the helper table ``name``, without the kept ones."""
+    counts = {f"{c}:required": F.count_if(F.col(c).isNull()) for c in REQUIRED.get(name, [])}
+    if name in LONGEST:
+        text = [f.name for f in table.schema if f.dataType == T.StringType()]
+        counts |= {f"{c}:length": F.count_if(F.length(c) > LONGEST[name]) for c in text}
+    if name in UNIQUE:
+        key = UNIQUE[name]
+        counts[f"{key}:unique"] = F.count(key) - F.count_distinct(key)
+    if not counts:
+        return {}
+    found = table.agg(*[count.alias(rule) for rule, count in counts.items()]).first()
+    return {rule: found[rule] for rule in counts if found[rule]}
 
-def replace_table(table: DataFrame, name: str, root: str) -> int:
-    """Full replace, all or nothing: write to a new folder, then switch the view.
-    Gives the number of rows now in the table."""
+
+def replace_table(table: DataFrame, name: str, root: str, wait: float = 0) -> int:
+    """Full replace, all or nothing: write to a new folder, check it, then switch.
+
+    Every later ``read_helper`` of any session finds the new rows.  Gives the number of
+    rows now in the table.
+    """
     spark = table.sparkSession
-    path = f"{root.rstrip('/')}/{name}/{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    publish(spark, name, path, table.schema)
-    return spark.read.parquet(path).count()
+    place = f"{root.rstrip('/')}/{name}"
+    with only_writer(spark, place, wait=wait) as lease:
+        folder = fresh_folder(place)
+        table.write.parquet(folder)
+        written = spark.read.schema(table.schema).parquet(folder)
+        broken = broken_rules(written, name)
+        if broken:
+            raise BrokenTable(f"{name} was not replaced: {broken}")
+        switch(lease, folder)
+        retire(lease)
+        return written.count()
+
+
+def read_helper(spark: SparkSession, name: str, root: str) -> DataFrame:
+    """The helper table that was loaded last."""
+    folder = current_folder(spark, f"{root.rstrip('/')}/{name}")
+    if not path_exists(spark, folder):
+        raise FileNotFoundError(f"{name} was never loaded into {root}")
+    return spark.read.schema(SCHEMAS[name]).parquet(folder)

@@ -1,69 +1,41 @@
 """Passage streams into tables: each key once, and tumbling counts.
 
 Rows may come in any order and at any age.  There is no watermark to fall behind: a
-micro-batch meets the stored rows of its own days, and the counts of these days are
-made again from the table and replace the old ones.  A micro-batch that is replayed
-changes nothing.
+micro-batch meets the stored rows of its own days, and what it adds is counted by itself
+and added to the counts.  A micro-batch that is replayed changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from wayside.functions.calendar import hour_floor, minute_floor
-from wayside.operators.filters import in_utc_days
+from wayside.plans.counts import update_counts
 from wayside.plans.ingest import store_new
-from wayside.plans.refresh import replace_days
-from wayside.schemas import PASSAGE_DAY
-from wayside.sources.passages import read_passages
-
-# Window lengths and how a time is cut to the window's start.
-LENGTHS = {"hour": hour_floor, "minute": minute_floor}
-
-
-def window_counts(passages: DataFrame, length: str = "hour") -> DataFrame:
-    """Passages per camera and tumbling window, with the window's UTC day."""
-    start = LENGTHS[length](F.col("passage_at")).alias("window_start")
-    return (
-        passages.groupBy(start, "camera_id", "camera_naam")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn(PASSAGE_DAY, F.to_date("window_start"))
-    )
-
-
-def runs_of(days: list[date]) -> list[tuple[date, date]]:
-    """Consecutive days as (first, last)."""
-    runs: list[tuple[date, date]] = []
-    for day in sorted(days):
-        if runs and day == runs[-1][1] + timedelta(days=1):
-            runs[-1] = (runs[-1][0], day)
-        else:
-            runs.append((day, day))
-    return runs
+from wayside.sources.lease import LASTS
+from wayside.streaming.runs import run_id
 
 
 def start_storing(
     passages: DataFrame,
     table: str,
     checkpoint: str,
-    then: Callable[[list[date]], None] | None = None,
+    then: Callable[[], object] | None = None,
     trigger: dict | None = None,
+    wait: float = LASTS,
 ) -> StreamingQuery:
     """Append every passage whose key is new to ``table``, whatever its age; ``then``
-    is called with the days of each micro-batch."""
+    is called after each micro-batch."""
+    run = run_id(passages.sparkSession, checkpoint)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            store_new(batch, table)
+            store_new(batch, table, f"{run}-{number}", wait)
             if then:
-                days = batch.select(F.to_date("passage_at").alias("day")).distinct()
-                then([row.day for row in days.collect()])
+                then()
         finally:
             batch.unpersist()
 
@@ -82,22 +54,11 @@ def start_counts(
     checkpoint: str,
     length: str = "hour",
     trigger: dict | None = None,
+    wait: float = LASTS,
 ) -> StreamingQuery:
-    """Store the stream and keep the table of its counts: the days that a micro-batch
-    touches are counted again."""
-    spark = passages.sparkSession
-
-    def recount(days: list[date]) -> None:
-        for first, last in runs_of(days):
-            rows = in_utc_days(read_passages(spark, table), first, last)
-            replace_days(window_counts(rows, length), counts, PASSAGE_DAY, first, last)
-
-    return start_storing(passages, table, checkpoint, recount, trigger)
-
-
-COUNTS = "window_start timestamp_ntz, camera_id string, camera_naam string, count long"
+    """Store the stream and keep the table of its counts."""
 
+    def count() -> None:
+        update_counts(passages.sparkSession, table, counts, length, wait)
 
-def read_counts(spark: SparkSession, counts: str) -> DataFrame:
-    stored = spark.read.schema(f"{COUNTS}, {PASSAGE_DAY} date").parquet(counts)
-    return stored.drop(PASSAGE_DAY)
+    return start_storing(passages, table, checkpoint, count, trigger, wait)
