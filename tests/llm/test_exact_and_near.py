@@ -36,11 +36,40 @@ def test_copies_equal_brute_force(make_docs, odd_rows, table_bytes):
 def test_spilled_buckets_are_merged():
     texts = [b"%d" % random.Random(n).randrange(300) * 50 for n in range(3_000)]
     records = [(hashlib.sha256(t).digest(), t, n, 1) for n, t in enumerate(texts)]
-    found = {t: (keep, n) for _, t, keep, n in grace_dedup.merged(records, table_bytes=2_000)}
+    found = {t: (keep, n) for _, t, keep, n in grace_dedup.merged(records, table_bytes=4_000)}
     want = {t: (max(i for i, x in enumerate(texts) if x == t), texts.count(t)) for t in set(texts)}
     assert found == want
 
 
+def test_many_tiny_texts_are_spilled(monkeypatch, tmp_path):
+    """What entries take counts, not only the few bytes of their contents."""
+    tables = []
+
+    class Watched(grace_dedup.ContentTable):
+        def __init__(self):
+            super().__init__()
+            tables.append(self)
+
+    monkeypatch.setattr(grace_dedup, "ContentTable", Watched)
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path},{tmp_path}")
+    n, bound = 300_000, 8 << 20
+    records = ((hashlib.sha256(b"%d" % (i % n)).digest(), b"%d" % (i % n), i, 1) for i in range(2 * n))
+    held = largest = 0
+    for _, _, keep, members in grace_dedup.merged(records, bound):
+        held += 1
+        assert members == 2 and keep >= n
+        largest = max(largest, max(len(t.entries) for t in tables))
+    assert held == n and len(tables) > 16
+    assert largest * grace_dedup.ENTRY_BYTES <= bound
+
+
+def test_spills_go_to_a_folder_of_the_task(monkeypatch):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", "/one,/two")
+    assert [grace_dedup.spill_folder(n) for n in range(3)] == ["/one", "/two", "/one"]
+    monkeypatch.delenv("SPARK_LOCAL_DIRS")
+    assert grace_dedup.spill_folder(3) is None
+
+
 def test_contents_are_compared_not_digests():
     table = grace_dedup.ContentTable()
     slot, _ = table.find(b"12345678", b"a")

@@ -7,12 +7,13 @@ and each file is treated the same way, until its distinct contents fit.  Every m
 task merges its own copies first, so a text that a third of all rows share reaches
 the shuffle once per task.
 
-Spill files are nameless and belong to one task, like the spills of Spark's own
-sorts: they vanish with it and no other task reads them.
+Spill files are nameless and belong to one task, in one of the folders Spark gives it
+for spills: they vanish with it and no other task reads them.
 """
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 
 from wayside.llm.common import map_batches, text_bytes
 
-# Bytes of distinct content a task's table may hold before records are spilled.
+# Bytes a task's table may hold, contents and entries, before records are spilled.
 TABLE_BYTES = 64 << 20
 
+# What an entry takes besides its content: slots, a list, a digest and numbers.
+ENTRY_BYTES = 400
+
 # Spill files per level.
 FANOUT = 16
 
@@ -66,7 +70,7 @@ class ContentTable:
     def add(self, slot: int, record: Record) -> None:
         self.slots[slot] = len(self.entries)
         self.entries.append(list(record))
-        self.bytes += len(record[1])
+        self.bytes += ENTRY_BYTES + len(record[1])
         if 2 * len(self.entries) > len(self.slots):
             self._grow()
 
@@ -94,12 +98,12 @@ def merged(records: Iterable[Record], table_bytes: int, level: int = 0) -> Itera
             held = table.entries[entry]
             held[2] = larger(held[2], record[2])
             held[3] += record[3]
-        elif not table.entries or table.bytes + len(record[1]) <= table_bytes:
+        elif not table.entries or table.bytes + ENTRY_BYTES + len(record[1]) <= table_bytes:
             table.add(slot, record)
         else:
             bucket = xxhash.xxh64_intdigest(record[0], seed=level) % FANOUT
             if bucket not in spills:
-                spills[bucket] = tempfile.TemporaryFile()
+                spills[bucket] = tempfile.TemporaryFile(dir=spill_folder(bucket))
             pickle.dump(record, spills[bucket], protocol=pickle.HIGHEST_PROTOCOL)
     yield from map(tuple, table.entries)
     del table
@@ -109,6 +113,12 @@ def merged(records: Iterable[Record], table_bytes: int, level: int = 0) -> Itera
         spill.close()
 
 
+def spill_folder(bucket: int) -> str | None:
+    """One of the task's local folders, as Spark names them; outside a task Python's own."""
+    folders = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")
+    return folders[bucket % len(folders)] or None
+
+
 def _read(spill) -> Iterator[Record]:
     while True:
         try:
