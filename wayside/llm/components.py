@@ -14,9 +14,14 @@ from wayside.llm.common import stored
 
 
 def _moved(links: DataFrame) -> DataFrame:
-    """Links (node, other) of every node moved to its smallest neighbour."""
+    """Links (node, other) of every node moved to its smallest neighbour.
+
+    The smallest neighbours are dealt out once more, by another hash, so that both sides
+    of the join are plain shuffles: Spark can then split the links of a hub over several
+    tasks, or read them where they are.
+    """
     smallest = links.groupBy("node").agg(F.min("other").alias("least"))
-    return links.join(smallest, "node")
+    return links.join(smallest.repartition(F.xxhash64("node")), "node")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
