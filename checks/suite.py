@@ -45,11 +45,11 @@ from wayside.operators import (
     traffic,
 )
 from wayside.operators.cameras import with_cameras
-from wayside.plans import refresh
+from wayside.plans import answers, refresh
 from wayside.plans.counts import read_counts
 from wayside.plans.ingest import ingest_batch
 from wayside.plans.rewrite import begin_masking
-from wayside.schemas import PASSAGE_DAY
+from wayside.schemas import NATURAL_KEY, PASSAGE_DAY
 from wayside.session import configure, scratch_path
 from wayside.sources.batches import add_batch
 from wayside.sources.lease import only_writer
@@ -258,6 +258,16 @@ def append_passages_query(spark, sf_dir):
     return stored.select(*PLAIN, F.to_json("brandstoffen").alias("brandstoffen"), PASSAGE_DAY)
 
 
+def in_batches(spark, sf_dir):
+    """A table of three batches, with its log."""
+    table = scratch_path(spark, "passages")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    for n in range(3):
+        with only_writer(spark, table) as lease:
+            add_batch(lease, passages_of(lineitem.filter(f"l_orderkey % 3 = {n}")))
+    return table
+
+
 @check(
     "load_cameras",
     """select camera_id, vma_linknr, camera_naam, rijrichting, rijrichting_correct,
@@ -644,7 +654,20 @@ def filter_passages(spark, sf_dir):
     order by passage_at desc, passage_id, volgnummer limit 50""",
 )
 def newest_passages(spark, sf_dir):
-    return filters.newest(passages(spark, sf_dir)).select(*PLAIN)
+    return answers.newest_page(spark, in_batches(spark, sf_dir)).select(*PLAIN)
+
+
+@check(
+    "next_page",
+    f"""select {SQL_PLAIN} from passages where kenteken_land = 'BE'
+    order by passage_at desc, passage_id, volgnummer limit 40 offset 40""",
+)
+def next_page(spark, sf_dir):
+    """The second page of those that meet a criterion, by the key of the first one's end."""
+    table = in_batches(spark, sf_dir)
+    first = answers.newest_page(spark, table, 40, kenteken_land="BE").collect()
+    after = {name: first[-1][name] for name in NATURAL_KEY}
+    return answers.newest_page(spark, table, 40, after, kenteken_land="BE").select(*PLAIN)
 
 
 # ------------------------------------------------------------------ calendar
@@ -936,7 +959,7 @@ def vehicle_profile(spark, sf_dir):
     from passages""",
 )
 def day_span(spark, sf_dir):
-    return profiles.day_span(passages(spark, sf_dir))
+    return answers.day_span(spark, in_batches(spark, sf_dir))
 
 
 @check(
@@ -1199,7 +1222,7 @@ _CHECKED_AT = datetime(2000, 11, 1, 1, 30)
     from (select max(created_at) as newest from passages)""",
 )
 def check_freshness(spark, sf_dir):
-    return quality.freshness(passages(spark, sf_dir), _CHECKED_AT)
+    return answers.freshness(spark, in_batches(spark, sf_dir), _CHECKED_AT)
 
 
 @check(
@@ -1207,7 +1230,7 @@ def check_freshness(spark, sf_dir):
     "select count(*) as row_count, count(*) >= 20000 as enough from passages",
 )
 def check_volume(spark, sf_dir):
-    return quality.volume(passages(spark, sf_dir))
+    return answers.volume(spark, in_batches(spark, sf_dir))
 
 
 @check(
@@ -1217,7 +1240,8 @@ def check_volume(spark, sf_dir):
     where cast(day as date) not in (select cast(passage_at as date) from passages)""",
 )
 def missing_days(spark, sf_dir):
-    return quality.missing_days(passages(spark, sf_dir), date(1999, 12, 25), date(2000, 12, 31))
+    table = in_batches(spark, sf_dir)
+    return answers.missing_days(spark, table, date(1999, 12, 25), date(2000, 12, 31))
 
 
 def sql_violations(table: str, rows: str, broken: dict[str, str]) -> str:

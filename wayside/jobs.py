@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayside.functions.calendar import ZONE_SETTING
-from wayside.operators import quality
 from wayside.operators.export import camera_delivery, hourly_totals
 from wayside.operators.traffic import passage_hour
+from wayside.plans import answers
 from wayside.plans.ingest import ingest_batch
 from wayside.plans.refresh import JOBS, read_table, refresh
 from wayside.plans.rewrite import mask_table
@@ -98,14 +98,13 @@ def _deliver(spark: SparkSession, args) -> str:
 
 
 def _check(spark: SparkSession, args) -> str:
-    passages = read_passages(spark, args.passages)
     now = args.now or datetime.now(timezone.utc).replace(tzinfo=None)
-    state = quality.freshness(passages, now).first()
-    rows = quality.volume(passages).first()
+    state = answers.freshness(spark, args.passages, now).first()
+    rows = answers.volume(spark, args.passages).first()
     problems = [f"newest passage: {state.status}"] if state.status != "ok" else []
     problems += [] if rows.enough else [f"only {rows.row_count} rows"]
     if args.first:
-        gaps = quality.missing_days(passages, args.first, args.last or args.today)
+        gaps = answers.missing_days(spark, args.passages, args.first, args.last or args.today)
         missing = gaps.agg(F.count(F.lit(1))).first()[0]
         problems += [f"{missing} days without passages"] if missing else []
     if problems:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayside.schemas import PASSAGE, PASSAGE_DAY
+from wayside.sources.files import names_in, path_exists
 from wayside.sources.generations import current_folder
 
 STORED = T.StructType([*PASSAGE.fields, T.StructField(PASSAGE_DAY, T.DateType())])
@@ -33,6 +35,23 @@ def read_passages(
     return passages
 
 
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """The days that have a folder, oldest first; only names are read."""
+    prefix = f"{PASSAGE_DAY}="
+    names = names_in(spark, current_folder(spark, path))
+    return sorted(date.fromisoformat(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+
+def read_days(spark: SparkSession, path: str, days: Iterable[date]) -> DataFrame:
+    """The given days; no folder of another day is looked at."""
+    folder = current_folder(spark, path)
+    places = [f"{folder}/{PASSAGE_DAY}={day.isoformat()}" for day in sorted(set(days))]
+    there = [place for place in places if path_exists(spark, place)]
+    if not there:
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).option("basePath", folder).parquet(*there)
+
+
 def laid_out(df: DataFrame, day_column: str, *sort: str) -> DataFrame:
     """Rows gathered per day and sorted, ready for a day-partitioned write.
 
