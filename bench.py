@@ -65,7 +65,7 @@ def main() -> None:
         refresh.refresh("passage_hour", passages, {}, hours, date(2000, 11, 2), date(1999, 12, 31))
 
     make_hours()
-    hour_table = refresh.read_table(spark, hours, traffic.passage_hour(passages))
+    hour_table = refresh.read_table(spark, hours, "passage_hour")
     copies = passages.unionByName(passages)
     few_copies = passages.unionByName(passages.filter("pmod(xxhash64(passage_id), 100) = 0"))
     jobs = {

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.derived import (
@@ -1087,7 +1087,7 @@ def refresh_day(spark, sf_dir):
     refresh.refresh("passage_hour", home, {}, path, date(2000, 3, 28))
     before = filters.in_utc_days(rows, date(1999, 12, 31), date(2000, 1, 3))
     refresh.refresh("passage_hour", before, {}, path, date(2000, 3, 27))
-    return refresh.read_table(spark, path, traffic.passage_hour(rows))
+    return refresh.read_table(spark, path, "passage_hour")
 
 
 @check(
@@ -1098,11 +1098,12 @@ def refresh_day(spark, sf_dir):
 )
 def backfill(spark, sf_dir):
     path = scratch_path(spark, "heavy-hour")
-    rows, lookups = passages(spark, sf_dir), {"cameras": cameras(spark, sf_dir)}
+    rows = passages(spark, sf_dir, fuels_as_text=False)
+    lookups = {"cameras": cameras(spark, sf_dir)}
     today, start = date(2000, 10, 31), date(2000, 3, 26)
     refresh.refresh("heavy_hour", rows, lookups, path, today, start)
-    table = traffic.heavy_hour(rows, lookups["cameras"])
-    return points(refresh.read_table(spark, path, table), "camera_locatie")
+    table = points(refresh.read_table(spark, path, "heavy_hour"), "camera_locatie")
+    return table.withColumn("brandstoffen", F.to_json("brandstoffen"))
 
 
 @check(
@@ -1115,8 +1116,43 @@ def refresh_trailing(spark, sf_dir):
     path = scratch_path(spark, "taxi-hour")
     rows, lookups = passages(spark, sf_dir), {"areas": areas(spark, sf_dir)}
     refresh.refresh("taxi_hour", rows, lookups, path, date(2000, 10, 31))
-    table = taxi.taxi_hour(rows, lookups["areas"])
-    return refresh.read_table(spark, path, table)
+    return refresh.read_table(spark, path, "taxi_hour")
+
+
+# Rows of a file that come before one they should follow.
+SORTED = {"passage_hour": ("date", "camera_id", "hour"), "igor_hour": ("passage_at_date", "passage_at_hour")}
+
+
+@check(
+    "refresh_order",
+    f"""select 'passage_hour' as table_name, date as day, count(*) as rows, cast(0 as bigint) as late
+    from ({SQL_PASSAGE_HOUR.format(days="true")}) group by date
+    union all
+    select 'igor_hour', passage_at_date, count(*), 0 from ({SQL_IGOR}) group by passage_at_date""",
+)
+def refresh_order(spark, sf_dir):
+    """Every file of a refreshed table holds its rows in the table's order."""
+    rows, lookups = passages(spark, sf_dir), {"cameras": cameras(spark, sf_dir)}
+    found = []
+    for name, (day, *keys) in SORTED.items():
+        path = scratch_path(spark, name)
+        refresh.refresh(name, rows, lookups, path, date(2000, 12, 1), date(1999, 12, 31))
+        in_file = Window.partitionBy("file").orderBy("at")
+        now = F.struct(day, *keys)
+        stored = spark.read.parquet(path).select(
+            F.col(day).alias("day"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.row_index").alias("at"),
+            now.alias("now"),
+        )
+        late = F.lag("now").over(in_file) > F.col("now")
+        found.append(
+            stored.withColumn("late", F.coalesce(late, F.lit(False)))
+            .groupBy("day")
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"))
+            .withColumn("table_name", F.lit(name))
+        )
+    return reduce(DataFrame.unionByName, found)
 
 
 # ----------------------------------------------------------------- streaming

@@ -40,7 +40,7 @@ def test_from_payloads_to_export(spark, folder):
                "{0}/helpers") == "1 rows"
     os.remove(folder + "/areas.csv")
     assert job(*taxi, "--helpers", "{0}/helpers") == "1 rows, cleared 0 days"
-    assert job("export", *stored, "--hours", "{0}/hours", "--output", "{0}/csv", "--year",
+    assert job("export", "--hours", "{0}/hours", "--output", "{0}/csv", "--year",
                "2024") == "1 rows"
     masses = lambda: {r.toegestane_maximum_massa_voertuig for r in read_passages(spark, folder + "/passages").collect()}
     before = masses()

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from wayside.functions.calendar import ZONE_SETTING
 from wayside.operators.export import camera_delivery, hourly_totals
-from wayside.operators.traffic import passage_hour
 from wayside.plans import answers
 from wayside.plans.ingest import ingest_batch
 from wayside.plans.refresh import JOBS, read_table, refresh
@@ -85,8 +84,7 @@ def _load(spark: SparkSession, args) -> str:
 
 
 def _export(spark: SparkSession, args) -> str:
-    shape = passage_hour(read_passages(spark, args.passages))
-    hours = read_table(spark, args.hours, shape)
+    hours = read_table(spark, args.hours, "passage_hour")
     totals = hourly_totals(hours, args.today, args.year, args.week)
     return f"{write_hourly_csv(totals, args.output)} rows"
 
@@ -144,7 +142,7 @@ def parser() -> argparse.ArgumentParser:
     job("rewrite-history", _rewrite, "passages")
     sub = job("load", _load, "csv", "helpers")
     sub.add_argument("--table", choices=["cameras", "taxi_areas"], required=True)
-    sub = job("export", _export, "passages", "hours", "output")
+    sub = job("export", _export, "hours", "output")
     sub.add_argument("--year", type=int)
     sub.add_argument("--week", type=int)
     sub = job("deliver", _deliver, "passages", "output")

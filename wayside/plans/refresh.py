@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wayside.operators import taxi, traffic
 from wayside.operators.filters import in_local_days, in_utc_days
+from wayside.schemas import AGGREGATES
 from wayside.sources.passages import laid_out
 
 
@@ -166,9 +167,13 @@ def refresh(
     if first > last:
         return None
     result = aggregate_days(job, passages, lookups, first, last)
+    declared = [(f.name, f.dataType) for f in AGGREGATES[name]]
+    if [(f.name, f.dataType) for f in result.schema] != declared:
+        raise TypeError(f"{name} does not have its declared columns")
     return replace_days(result, path, job.day_column, first, last, job.sort)
 
 
-def read_table(spark: SparkSession, path: str, columns: DataFrame) -> DataFrame:
-    """A stored aggregate with the columns of ``columns``, in its order."""
-    return spark.read.schema(columns.schema).parquet(path).select(*columns.columns)
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The stored aggregate ``name`` with its declared columns."""
+    schema = AGGREGATES[name]
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())

@@ -315,3 +315,92 @@ PAYLOAD_V2 = T.StructType(
         ),
     ]
 )
+
+
+# ------------------------------------------------------------------- aggregates
+
+
+def _columns(*groups: tuple[T.DataType, str]) -> T.StructType:
+    """Columns of several names per type, as ("type", "name name …")."""
+    return T.StructType([T.StructField(n, kind) for kind, names in groups for n in names.split()])
+
+
+_DATE, _L = T.DateType(), T.LongType()
+_AT = (
+    (_DATE, "passage_at_date"),
+    (_I, "passage_at_year passage_at_month passage_at_day passage_at_week"),
+    (_S, "passage_at_day_of_week"),
+    (_I, "passage_at_hour"),
+)
+_STAMPED = ((T.TimestampNTZType(), "passage_at_timestamp"), *_AT)
+_HEAVY_CAMERA = (
+    (_S, "camera_id camera_naam"),
+    (POINT, "camera_locatie"),
+    (_D, "camera_kijkrichting"),
+    (_H, "rijrichting"),
+    (_S, "straat"),
+    (_B, "rijrichting_correct"),
+    (_S, "cordon"),
+    (_I, "cordon_order_kaart"),
+    (_S, "cordon_order_naam richting"),
+)
+_HEAVY_VEHICLE = (
+    (_S, "kenteken_land voertuig_soort inrichting"),
+    (_S, "europese_voertuigcategorie europese_voertuigcategorie_toevoeging"),
+    (FUELS, "brandstoffen"),
+    (_H, "diesel gasoline electric"),
+    (_S, "massa_ledig_voertuig toegestane_maximum_massa_voertuig lengte breedte"),
+    (_H, "aantal_staanplaatsen aantal_zitplaatsen"),
+    (_S, "merk handelsbenaming"),
+    (_L, "count"),
+)
+
+# The columns of the six aggregate tables, in their order.
+AGGREGATES = {
+    "passage_hour": _columns(
+        (_DATE, "date"),
+        (_I, "year month day week dow hour"),
+        (_S, "camera_id camera_naam"),
+        (_H, "rijrichting"),
+        (_D, "camera_kijkrichting"),
+        (_S, "kenteken_land voertuig_soort europese_voertuigcategorie"),
+        (_B, "taxi_indicator"),
+        (_H, "diesel gasoline electric"),
+        (_S, "toegestane_maximum_massa_voertuig"),
+        (_L, "count"),
+    ),
+    "heavy_cordon_hour": _columns(
+        *_STAMPED,
+        (_I, "order_kaart"),
+        (_S, "order_naam cordon richting"),
+        (POINT, "location"),
+        (_S, "geom"),
+        (_D, "azimuth"),
+        (_S, "kenteken_land voertuig_soort inrichting voertuig_klasse_toegestaan_gewicht"),
+        (_L, "intensiteit"),
+    ),
+    "heavy_hour": _columns(*_AT, *_HEAVY_CAMERA, *_HEAVY_VEHICLE),
+    "heavy_minute": _columns(
+        *_AT, (_I, "passage_at_minute"), *_HEAVY_CAMERA, (_S, "kenteken_hash"), *_HEAVY_VEHICLE
+    ),
+    "igor_hour": _columns(
+        *_STAMPED,
+        (_S, "camera_id camera_naam vma_linknr"),
+        (_I, "order_kaart"),
+        (_S, "order_naam cordon richting"),
+        (POINT, "location"),
+        (_S, "geom"),
+        (_D, "azimuth"),
+        (_S, "kenteken_land"),
+        (_B, "taxi_indicator"),
+        (_S, "europese_voertuigcategorie"),
+        (_L, "intensiteit"),
+    ),
+    "taxi_hour": _columns(
+        (_DATE, "passage_at_date"),
+        (_I, "hh"),
+        (_S, "gebiedstype gebied"),
+        (_H, "electric"),
+        (_L, "unieke_passages check_on_camera_count"),
+    ),
+}
