@@ -207,3 +207,75 @@ def test_graph_components(llm):
     want = {(x, find(x)) for x in list(root) if find(x) != x}
     found = cc.components(llm.createDataFrame(links, "node long, other long"))
     assert set(map(tuple, found.collect())) == want
+
+
+# ------------------------------------------------------- large groups without links
+
+
+def templated(words, n, shared=0.5, length=60):
+    """Texts that share a part of their words with all others and are linked with none."""
+    base = words("template", length)
+    rows = []
+    for i in range(n):
+        own = random.Random(i)
+        rows.append([w if own.random() < shared else f"own{i}x{k}" for k, w in enumerate(base)])
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block, dealt", [(512, 64), (16, 64), (16, 2)])
+def test_blocks_and_keys_find_the_same(make_docs, near_rows, words, monkeypatch, block, dealt):
+    """Small blocks, and groups taken apart into their keys."""
+    monkeypatch.setattr(minhash_join, "BLOCK", block)
+    monkeypatch.setattr(minhash_join, "SLICE", block)
+    monkeypatch.setattr(minhash_join, "MAX_DEALT", dealt)
+    base = words("family", 150)
+    rows = list(near_rows) + [
+        (5_000 + n, " ".join(edited(words, base, 70 + n, 14 + n % 12))) for n in range(60)
+    ]
+    found = minhash_join.find_near_copies(make_docs(rows))
+    assert Counter(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == (
+        brute_components(rows)
+    )
+
+
+def moved_units(llm, words, n, monkeypatch):
+    """Rows with signatures, and with texts, that the last step takes for n texts."""
+    seen = {}
+
+    def watched(df, label, real=minhash_join.stored):
+        kept = real(df, label)
+        seen[label] = kept.count()
+        return kept
+
+    units = minhash_join._units
+
+    def dealt(rows):
+        found = units(rows)
+        seen["dealt"] = seen.get("dealt", 0) + found.count()
+        return found
+
+    monkeypatch.setattr(minhash_join, "stored", watched)
+    monkeypatch.setattr(minhash_join, "_units", dealt)
+    rows = llm.createDataFrame(templated(words, n), "doc_id long, text string")
+    found = minhash_join.find_near_copies(rows)
+    assert found.filter("not kept").count() == 0
+    monkeypatch.undo()
+    return seen["dealt"], seen["near-units"]
+
+
+def test_templated_texts_move_in_proportion(llm, words, monkeypatch):
+    monkeypatch.setattr(minhash_join, "MAX_DEALT", 4)
+    small, _ = moved_units(llm, words, 1_000, monkeypatch)
+    monkeypatch.setattr(minhash_join, "MAX_DEALT", 4)
+    large, with_texts = moved_units(llm, words, 4_000, monkeypatch)
+    assert large <= 2 * 90 * 4_000 and with_texts == 0
+    assert large <= 6 * max(small, 4_000)
+
+
+def test_sets_of_long_texts(words):
+    text = "\t".join(words("long", 150_000)).encode()
+    assert len(text) > 2 * (1 << 18)
+    split = text.split()
+    want = np.unique(minhash_join._run_hashes(split, 2))
+    assert (minhash_join.shingle_set(text) == want).all()
+    assert len(minhash_join.shingle_set(b"")) == 0 and len(minhash_join.shingle_set(b" one ")) == 1

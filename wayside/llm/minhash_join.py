@@ -14,13 +14,15 @@ listed.  Documents with equal sets are one node first.  Then
 2. nodes with near signatures to such a first one are confirmed on the full sets, and
    confirmed links make components;
 3. in groups with more than one component, the nodes outside the largest one are
-   compared with all nodes of the group, on full sets, by blocks with an inverted
-   index.  Only links between components come out; pairs within a component need no
-   test.
+   compared with all nodes of the group, by blocks.  Signatures and sizes go first; only
+   nodes that are near to one of another component there go on with their texts, and
+   are compared on full sets with an inverted index.  Only links between components
+   come out; pairs within a component need no test.  A group that would take many
+   blocks is taken apart into its keys, so that what is moved grows with its nodes.
 
 So every pair that shares a key is confirmed, refuted or in one component.  The last
-step is quadratic where many nodes of a large group are near to its others but linked
-with none; no pairs are emitted or shuffled for that, only blocks.
+step is quadratic where many nodes of one key are near to its others but linked with
+none; no pairs are emitted or shuffled for that, only blocks.
 """
 
 from __future__ import annotations
@@ -33,7 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayside.llm.common import ASCII_LOWER_BYTES, map_batches, stored, text_bytes
+from wayside.llm.common import (
+    ASCII_LOWER_BYTES,
+    SPACE_WORD,
+    map_batches,
+    stored,
+    text_blocks,
+    text_bytes,
+)
 from wayside.llm.components import components
 
 # Signatures that differ in up to CHUNKS * (ERRORS + 1) - 1 = 29 symbols share a key.
@@ -89,15 +98,26 @@ _HASHES = _WordHashes()
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Distinct shingles as sorted 64-bit hashes; fewer words than a shingle are one."""
-    words = text.translate(ASCII_LOWER_BYTES).split()
+    words: list[bytes] = []
+    parts = []
+    for block in text_blocks(text.translate(ASCII_LOWER_BYTES), SPACE_WORD):
+        words += block.split()
+        if len(words) >= shingle:
+            parts.append(np.unique(_run_hashes(words, shingle)))
+            words = words[len(words) - shingle + 1 :]
+    if not parts:
+        return _run_hashes(words, len(words))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def _run_hashes(words: list[bytes], size: int) -> np.ndarray:
     hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     if not len(words):
         return hashes
-    size = min(shingle, len(words))
     joined = np.full(len(words) - size + 1, size, np.uint64)
     for at in range(size):
         joined = mixed(joined * _ORDER + hashes[at : len(hashes) - size + 1 + at])
-    return np.unique(joined)
+    return joined
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -303,17 +323,19 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 
 # Nodes outside a group's largest component that a task holds, and nodes it compares
 # with them.
-BLOCK = 1_024
-SLICE = 4_096
+BLOCK = 512
+SLICE = 512
 
+# Times a node of a group may be dealt out before the group is taken apart into its keys,
+# of which a node has SYMBOLS.
+MAX_DEALT = 64
 
-def open_groups(nodes: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, group, root, main, blocks, slices) of groups with several components."""
-    known = (
-        nodes.join(groups.withColumnRenamed("root", "group"), "node", "left")
-        .join(roots, "node", "left")
-        .select("node", F.coalesce("group", "node").alias("group"), F.coalesce("root", "node").alias("root"))
-    )
+UNIT = ["group", "block", "slice"]
+
+
+def _sized(known: DataFrame) -> DataFrame:
+    """The rows (node, group, root) of groups with several roots, with the group's
+    largest component ``main`` and the numbers of its ``blocks`` and ``slices``."""
     sizes = known.groupBy("group", "root").agg(F.count("*").alias("n"))
     several = (
         sizes.groupBy("group")
@@ -330,7 +352,136 @@ def open_groups(nodes: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFr
             F.ceil(F.col("n") / SLICE).alias("slices"),
         )
     )
-    return known.join(several, "group")
+    # Dealt out by another hash, both sides of the join are plain shuffles that can be split.
+    return known.join(several.repartition(F.xxhash64("group")), "group")
+
+
+def open_groups(nodes: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, group, root, main, blocks, slices) of groups with several components."""
+    known = (
+        nodes.join(groups.withColumnRenamed("root", "group"), "node", "left")
+        .join(roots, "node", "left")
+        .select("node", F.coalesce("group", "node").alias("group"), F.coalesce("root", "node").alias("root"))
+    )
+    return _sized(known)
+
+
+def _units(opened: DataFrame) -> DataFrame:
+    """(group, block, slice, compared, node, root): each node outside the main component
+    in a block of its own, for every slice, and every node in a slice, for every block."""
+    outside = opened.filter("root != main").select(
+        "group",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"),
+        F.lit(False).alias("compared"),
+        "node",
+        "root",
+    )
+    everyone = opened.select(
+        "group",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).alias("slice"),
+        F.lit(True).alias("compared"),
+        "node",
+        "root",
+    )
+    return outside.unionByName(everyone)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Each unit in one task, its block first."""
+    return rows.repartition(*UNIT).sortWithinPartitions(*UNIT, "compared")
+
+
+class _Held:
+    """Nodes with their roots, sizes, signatures and, where asked for, keys."""
+
+    def __init__(self, batches: list[pa.RecordBatch], with_keys: bool) -> None:
+        self.rows = pa.Table.from_batches(batches).combine_chunks()
+        number = lambda name: self.rows[name].to_numpy()
+        self.roots, self.sizes = number("root"), number("n_shingles")
+        joined = b"".join(self.rows["signature"].to_pylist())
+        self.signatures = np.frombuffer(joined, "<u2").reshape(-1, SYMBOLS)
+        self.keys = signature_keys(self.signatures).view(np.int64) if with_keys else None
+
+    def chosen(self, at: np.ndarray) -> pa.RecordBatch:
+        kept = self.rows.select([*UNIT, "compared", "node", "root"]).take(pa.array(at))
+        return kept.combine_chunks().to_batches()[0]
+
+
+def _near(block: _Held, others: _Held, key: int | None, percent: int, most: int) -> tuple:
+    """Places of nodes of either side that are near to one of another root on the other.
+
+    With ``key``, a pair is taken only where this is the smallest key it shares.
+    """
+    differ = np.zeros((len(block.roots), len(others.roots)), np.uint8)
+    for left, right in zip(block.signatures.T, others.signatures.T):
+        differ += left[:, None] != right[None, :]
+    small = np.minimum(block.sizes[:, None], others.sizes[None, :])
+    large = np.maximum(block.sizes[:, None], others.sizes[None, :])
+    near = (differ <= most) & (100 * small >= percent * large)
+    left, right = np.nonzero(near & (block.roots[:, None] != others.roots[None, :]))
+    if key is not None and len(left):
+        own = np.zeros(len(left), bool)
+        for at in range(0, len(left), 65_536):
+            part = slice(at, at + 65_536)
+            mine, theirs = block.keys[left[part]], others.keys[right[part]]
+            shared = np.where(mine == theirs, mine, np.iinfo(np.int64).max)
+            own[part] = shared.min(axis=1) == key
+        left, right = left[own], right[own]
+    return np.unique(left), np.unique(right)
+
+
+def _near_unit_task(by_key: bool, percent: int, max_distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, waiting, block, found = None, [], None, np.empty(0, np.int64)
+        for batch in batches:
+            parts = [batch.column(c).to_numpy(False) for c in (*UNIT, "compared")]
+            change = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
+            for start, end in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if start == end:
+                    continue
+                rows = batch.slice(start, end - start)
+                here = tuple(int(p[start]) for p in parts[:3])
+                if here != unit:
+                    if block is not None and len(found):
+                        yield block.chosen(found)
+                    unit, waiting, block, found = here, [], None, np.empty(0, np.int64)
+                if not parts[3][start]:
+                    waiting.append(rows)
+                    continue
+                if block is None and waiting:
+                    block = _Held(waiting, by_key)
+                if block is not None:
+                    others = _Held([rows], by_key)
+                    key = unit[0] if by_key else None
+                    left, right = _near(block, others, key, percent, max_distance)
+                    found = np.union1d(found, left)
+                    if len(right):
+                        yield others.chosen(right)
+        if block is not None and len(found):
+            yield block.chosen(found)
+
+    return run
+
+
+UNITS = "group long, block long, slice long, compared boolean, node long, root long"
+
+
+def near_units(
+    opened: DataFrame, shared: DataFrame, nodes: DataFrame, percent: int, max_distance: int
+) -> DataFrame:
+    """The rows of units with nodes that are near to one of another component there."""
+    features = nodes.select("node", "signature", "n_shingles")
+
+    def near(rows: DataFrame, by_key: bool) -> DataFrame:
+        units = _gathered(_units(rows).join(features, "node"))
+        return map_batches(units, _near_unit_task(by_key, percent, max_distance), UNITS)
+
+    many = F.col("blocks") + F.col("slices") > MAX_DEALT
+    of_keys = opened.filter(many).select("node", "root").join(shared.select("node", "key"), "node")
+    by_key = _sized(of_keys.select("node", F.col("key").alias("group"), "root"))
+    return near(opened.filter(~many), False).unionByName(near(by_key, True))
 
 
 def _cross_task(shingle: int, percent: int):
@@ -389,32 +540,9 @@ class _Index:
         return np.flatnonzero(100 * common >= percent * (self.sizes + len(shingles) - common))
 
 
-def cross_links(opened: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between components of the open groups, each unit of a block and a slice
-    by itself."""
-    outside = opened.filter("root != main").select(
-        "group",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"),
-        F.lit(False).alias("compared"),
-        "node",
-        "root",
-    )
-    everyone = opened.select(
-        "group",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).alias("slice"),
-        F.lit(True).alias("compared"),
-        "node",
-        "root",
-    )
-    units = ["group", "block", "slice"]
-    rows = (
-        outside.unionByName(everyone)
-        .join(texts, "node")
-        .repartition(*units)
-        .sortWithinPartitions(*units, "compared")
-    )
+def cross_links(units: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components, each unit by itself."""
+    rows = _gathered(units.join(texts, "node"))
     return map_batches(rows, _cross_task(shingle, percent), "node long, other long")
 
 
@@ -465,7 +593,8 @@ def find_near_copies(
     first = stored(confirmed(stored(near, "star-pairs"), texts, shingle, percent), "star-links")
     groups = components(shared.select("node", F.col("hub").alias("other")))
     opened = stored(open_groups(texts.select("node"), groups, components(first)), "open-groups")
-    second = stored(cross_links(opened, texts, shingle, percent), "cross-links")
+    units = stored(near_units(opened, shared, nodes, percent, max_distance), "near-units")
+    second = stored(cross_links(units, texts, shingle, percent), "cross-links")
     roots = components(first.unionByName(second))
     return _members(features, nodes, roots)
 
