@@ -11,12 +11,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_ingest import FLAT, NOW
-from wayside.plans import rewrite
+from wayside.plans import ingest, rewrite
 from wayside.plans.counts import read_counts, update_counts, window_counts
 from wayside.plans.ingest import ingest_batch, store_new
 from wayside.schemas import NATURAL_KEY
-from wayside.sources import batches
-from wayside.sources.files import names_in, path_exists, read_content, write_new, write_over
+from wayside.sources import batches, key_index
+from wayside.sources.files import (
+    names_in,
+    path_exists,
+    read_content,
+    remove,
+    write_new,
+    write_over,
+)
 from wayside.sources.generations import current_folder, fresh_folder, retire, switch
 from wayside.sources.lease import Lease, LeaseLost, log_folder, only_writer, take_lease
 from wayside.sources.passages import append_passages, read_passages
@@ -324,3 +331,84 @@ def test_a_killed_count_is_done_again(spark, make_passages, folder, monkeypatch)
     monkeypatch.undo()
     assert update_counts(spark, table, counts)
     same_counts(spark, table, counts)
+
+
+# -------------------------------------------------------------------- index, files
+
+
+def opened(monkeypatch):
+    """The days of history that are opened."""
+    days = []
+
+    def watched(spark, table, chosen, real=ingest.read_days):
+        days.extend(chosen)
+        return real(spark, table, chosen)
+
+    monkeypatch.setattr(ingest, "read_days", watched)
+    monkeypatch.setattr(ingest, "same_days", _fail)
+    return days
+
+
+def test_new_keys_open_no_history(spark, make_passages, folder, monkeypatch):
+    table = folder + "/passages"
+    append_passages(spread(make_passages, 0, 6), table)  # indexed with the first batch
+    store_new(spread(make_passages, 6, 6), table)
+    days = opened(monkeypatch)
+    same_time = {"passage_at": DAY, "passage_id": "90000000-0000-0000-0000-000000000000"}
+    assert store_new(make_passages(same_time), table) and days == []
+    store_new(spread(make_passages, 11, 3), table)  # the first is stored
+    assert days == [(DAY + timedelta(hours=17 * 11)).date()]
+    del days[:]
+    store_new(spread(make_passages, 0, 1), table)  # from before there was an index
+    assert days == [DAY.date()]
+    assert read_passages(spark, table).count() == 15
+    check_log(spark, table)
+
+
+def test_answers_are_the_same_without_the_index(spark, make_passages, folder):
+    rows = []
+    for name in ("with", "without"):
+        table = f"{folder}/{name}"
+        for first in (0, 3, 4, 12, 2):
+            store_new(spread(make_passages, first, 5), table)
+            if name == "without":
+                remove(spark, log_folder(table) + "/keys")
+        rows.append(keys(read_passages(spark, table)))
+        assert key_index.is_complete(spark, table) == (name == "with")
+    assert rows[0] == rows[1] and len(rows[0]) == 14
+    with only_writer(spark, table) as lease:
+        key_index.build_index(lease, read_passages(spark, table))
+    stored = spark.read.schema(key_index.KEYS).parquet(log_folder(table) + "/keys")
+    assert stored.count() == 14
+    assert key_index.days_to_ask(spark, table, spread(make_passages, 90, 3)) == []
+
+
+def test_a_batch_killed_after_its_keys_is_stored_later(spark, make_passages, folder, monkeypatch):
+    table, rows = folder + "/passages", spread(make_passages, 0, 4)
+    monkeypatch.setattr(batches, "move", _fail)
+    with pytest.raises(OSError):
+        store_new(rows, table, "label")
+    monkeypatch.undo()
+    assert store_new(rows, table, "label")
+    assert read_passages(spark, table).count() == 4
+    check_log(spark, table)
+
+
+def test_small_files_are_packed(spark, make_passages, folder):
+    table, counts = folder + "/passages", folder + "/counts"
+    for n in range(12):
+        row = {"passage_id": f"{n:08d}-0000-0000-0000-000000000000", "passage_at": DAY}
+        store_new(make_passages(row), table)
+    before = read_passages(spark, table)
+    packing = rewrite.begin_rewrite(spark, table, rewrite.packed)
+    store_new(make_passages({"passage_at": DAY + timedelta(days=1)}), table)
+    assert read_passages(spark, table).count() == 13
+    packing.finish()
+    after = read_passages(spark, table)
+    assert len(before.inputFiles()) == 12 and len(after.inputFiles()) == 2
+    assert before.count() == 12 and after.count() == 13
+    check_log(spark, table)
+    update_counts(spark, table, counts)
+    same_counts(spark, table, counts)
+    store_new(spread(make_passages, 0, 3), table)  # the first is stored
+    assert read_passages(spark, table).count() == 15

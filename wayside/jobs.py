@@ -18,7 +18,7 @@ from wayside.operators.export import camera_delivery, hourly_totals
 from wayside.plans import answers
 from wayside.plans.ingest import ingest_batch
 from wayside.plans.refresh import JOBS, read_table, refresh
-from wayside.plans.rewrite import mask_table
+from wayside.plans.rewrite import compact_table, mask_table
 from wayside.session import build_session
 from wayside.sources.passages import read_passages
 from wayside.sources.payloads import stream_payloads
@@ -77,6 +77,11 @@ def _rewrite(spark: SparkSession, args) -> str:
     return f"{args.passages} is masked"
 
 
+def _compact(spark: SparkSession, args) -> str:
+    compact_table(spark, args.passages, args.wait)
+    return f"{args.passages} is packed"
+
+
 def _load(spark: SparkSession, args) -> str:
     reader = {"cameras": load_cameras, "taxi_areas": load_taxi_areas}[args.table]
     rows = replace_table(reader(spark, args.csv), args.table, args.helpers, args.wait)
@@ -140,6 +145,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--areas", help="CSV file to use instead of the loaded table")
     sub.add_argument("--from-date", type=day)
     job("rewrite-history", _rewrite, "passages")
+    job("compact", _compact, "passages")
     sub = job("load", _load, "csv", "helpers")
     sub.add_argument("--table", choices=["cameras", "taxi_areas"], required=True)
     sub = job("export", _export, "hours", "output")
