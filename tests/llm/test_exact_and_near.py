@@ -222,9 +222,10 @@ def templated(words, n, shared=0.5, length=60):
     return [(i, " ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block, dealt", [(512, 64), (16, 64), (16, 2)])
-def test_blocks_and_keys_find_the_same(make_docs, near_rows, words, monkeypatch, block, dealt):
-    """Small blocks, and groups taken apart into their keys."""
+@pytest.mark.parametrize("block, dealt, few", [(512, 64, 200_000), (16, 64, 0), (16, 2, 200_000)])
+def test_blocks_and_keys_find_the_same(make_docs, near_rows, words, monkeypatch, block, dealt, few):
+    """Small blocks, groups taken apart into their keys, and rounds without broadcasts."""
+    monkeypatch.setattr(cc, "FEW", few)
     monkeypatch.setattr(minhash_join, "BLOCK", block)
     monkeypatch.setattr(minhash_join, "SLICE", block)
     monkeypatch.setattr(minhash_join, "MAX_DEALT", dealt)

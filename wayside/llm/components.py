@@ -13,30 +13,35 @@ from pyspark.sql import functions as F
 from wayside.llm.common import stored
 
 
-def _moved(links: DataFrame) -> DataFrame:
+# Links of a round up to which the smallest neighbours are broadcast: at most twice as
+# many rows of two numbers.
+FEW = 200_000
+
+
+def _moved(links: DataFrame, few: bool) -> DataFrame:
     """Links (node, other) of every node moved to its smallest neighbour.
 
-    The smallest neighbours are dealt out once more, by another hash, so that both sides
-    of the join are plain shuffles: Spark can then split the links of a hub over several
-    tasks, or read them where they are.
+    Few are broadcast.  Many are dealt out once more, by another hash, so that both sides
+    of the join are plain shuffles: Spark can then split the links of a hub.
     """
     smallest = links.groupBy("node").agg(F.min("other").alias("least"))
-    return links.join(smallest.repartition(F.xxhash64("node")), "node")
+    side = F.broadcast(smallest) if few else smallest.repartition(F.xxhash64("node"))
+    return links.join(side, "node")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, few: bool) -> DataFrame:
     """May give a link several times; the other step ends with distinct ones."""
     both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
     return (
-        _moved(both)
+        _moved(both, few)
         .withColumn("least", F.least("node", "least"))
         .filter("other > node")
         .select(F.col("other").alias("node"), F.col("least").alias("other"))
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    moved = _moved(links)
+def _small_star(links: DataFrame, few: bool) -> DataFrame:
+    moved = _moved(links, few)
     return (
         moved.filter("other != least")
         .select(F.col("other").alias("node"), F.col("least").alias("other"))
@@ -64,7 +69,8 @@ def components(links: DataFrame) -> DataFrame:
     links, state = _stored(ordered)
     while state[0]:
         before = state
-        links, state = _stored(_small_star(_large_star(links)))
+        few = state[0] <= FEW
+        links, state = _stored(_small_star(_large_star(links, few), few))
         if before == state:
             break
     return links.withColumnRenamed("other", "root")

@@ -479,9 +479,13 @@ def near_units(
         return map_batches(units, _near_unit_task(by_key, percent, max_distance), UNITS)
 
     many = F.col("blocks") + F.col("slices") > MAX_DEALT
-    of_keys = opened.filter(many).select("node", "root").join(shared.select("node", "key"), "node")
+    large = opened.filter(many)
+    of_groups = near(opened.filter(~many), False)
+    if large.isEmpty():
+        return of_groups
+    of_keys = large.select("node", "root").join(shared.select("node", "key"), "node")
     by_key = _sized(of_keys.select("node", F.col("key").alias("group"), "root"))
-    return near(opened.filter(~many), False).unionByName(near(by_key, True))
+    return of_groups.unionByName(near(by_key, True))
 
 
 def _cross_task(shingle: int, percent: int):
