@@ -180,7 +180,10 @@ def test_patterns_are_those_of_the_library(byte_path, word_path):
     texts += [f"{a}{chr(n)}{b}" for n in range(256) for a, b in (("", ""), ("a", "b"), (" ", " a"))]
     for text in texts:
         ids = exact.encode(text, add_special_tokens=False).ids
-        assert byte.ids(text) == b"".join(i.to_bytes(4, "little") for i in ids), repr(text)
+        whole = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert byte.ids(text) == whole, repr(text)
+        parts = list(pretokens.segments(text, 3))
+        assert "".join(parts) == text and b"".join(map(byte.ids, parts)) == whole, repr(text)
         special_tokens, chunks, others = token_counts.frequencies(word, text)
         count = special_tokens + sum(n * word.count(p) for p, n in others.items())
         count += sum(n * word.count(p) for c, n in chunks.items() for p in word.of_chunk(c))

@@ -42,8 +42,10 @@ ROOMS = (0, 2, 8, 32, 128)
 # Lengths up to this part of the capacity are small: they only fill gaps.
 SMALL_PART = 16
 
-# Parts in which pieces of one length are numbered.
+# Parts in which pieces of one length are numbered, at least, and the pieces of a part
+# beyond which there are more.
 RANK_PARTS = 64
+PART_PIECES = 50_000
 
 END_ID = 0
 
@@ -360,14 +362,19 @@ def _place_task(places):
     return run
 
 
-def numbered(pieces: DataFrame, parts: int) -> DataFrame:
+def numbered(pieces: DataFrame, counts: dict[int, int], parts: int) -> DataFrame:
     """``number``: a piece's place among those of its length, from 0.
 
     A length may hold a third of all pieces, so it is numbered in parts, each from
-    the count of the parts before.
+    the count of the parts before; their number grows with its pieces.
     """
-    part = F.pmod(F.xxhash64("row_key", "piece"), F.lit(parts)).alias("part")
-    dealt = pieces.select("*", part)
+    # A row per length, of which there are as many as a sequence has places.
+    split = pieces.sparkSession.createDataFrame(
+        [(n, max(parts, -(-count // PART_PIECES))) for n, count in counts.items()],
+        "length long, parts long",
+    )
+    part = F.pmod(F.xxhash64("row_key", "piece"), F.col("parts")).alias("part")
+    dealt = pieces.join(F.broadcast(split), "length").select(*pieces.columns, part)
     key = ["length", "part"]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -389,11 +396,12 @@ def place_pieces(
 ) -> DataFrame:
     """``pieces`` with (sequence_id, offset); they must be stored rows, because they
     are read more than once."""
-    counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
-    patterns = solve({row.length: row.n for row in counts}, capacity, groups)
+    found = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
+    counts = {row.length: row.n for row in found}
+    patterns = solve(counts, capacity, groups)
     places = pieces.sparkSession.sparkContext.broadcast(_places(patterns))
     schema = f"{PIECES}, sequence_id long, offset long"
-    rows = numbered(pieces, parts).select("row_key", "doc_id", "piece", "start", "length", "ids_crc32", "number")
+    rows = numbered(pieces, counts, parts).select("row_key", "doc_id", "piece", "start", "length", "ids_crc32", "number")
     return map_batches(rows, _place_task(places), schema)
 
 

@@ -164,6 +164,25 @@ def pretokenizer(path: str) -> PreTokenizer:
     return _TAKEN_APART[path]
 
 
+# Characters of a long text that are taken at once.
+SEGMENT = 1 << 18
+
+# A space between two characters that are none: both patterns begin a pre-token there.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """A text in parts whose pre-tokens are those of the whole."""
+    at = 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 class Encoder:
     """Ids of texts for a vocabulary whose pre-tokens carry their leading space.
 
@@ -186,6 +205,9 @@ class Encoder:
         return known + b"".join(map(self.inner.__getitem__, rest))
 
     def ids(self, text: str) -> bytes:
+        return b"".join(map(self._segment_ids, segments(text)))
+
+    def _segment_ids(self, text: str) -> bytes:
         if not is_plain(text) or self.pre.special.search(text):
             return self._by_library(text)
         if WIDE_SPACE.search(text) or text.endswith(" "):
