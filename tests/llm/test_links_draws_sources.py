@@ -16,7 +16,7 @@ import xxhash
 from wayside.llm import simhash_balls as balls
 from wayside.llm import source_divergence as divergence
 from wayside.llm import target_resampling as resampling
-from wayside.llm.common import BLOCK_BYTES, text_blocks
+from wayside.llm.common import BLOCK_BYTES, text_blocks, with_row_key
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -302,3 +302,11 @@ def test_empty_tables(llm, make_docs):
     assert resampling.rank_by_importance(make_docs([(1, "a b"), (2, None)]), target).count() == 2
     empty = llm.createDataFrame([], "doc_id long, lang string, source string, text string")
     assert divergence.audit_sources(empty).count() == 0
+
+
+def test_row_keys_outlive_a_shuffle(llm):
+    dealt = llm.range(1_000).repartition(7, "id")
+    keyed = with_row_key(dealt, "keyed")
+    assert "Exchange" not in keyed._jdf.queryExecution().executedPlan().toString()
+    assert keyed.select("row_key").distinct().count() == 1_000
+    assert sorted(map(tuple, keyed.collect())) == sorted(map(tuple, keyed.coalesce(1).collect()))

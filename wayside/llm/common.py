@@ -86,6 +86,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with a number of its own for every row in ``row_key``, the same whenever a
+    task runs again.
+
+    Files give their rows in one order; what comes from a shuffle may not, and is stored
+    first.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = stored(df, label)
+    return df.select("*", F.monotonically_increasing_id().alias("row_key"))
+
+
 __all__ = [
     "ASCII_LOWER",
     "ASCII_LOWER_BYTES",

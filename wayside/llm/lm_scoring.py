@@ -27,6 +27,7 @@ from wayside.llm.common import (
     map_batches,
     stored,
     text_bytes,
+    with_row_key,
 )
 
 # What counts as held out: this remainder of crc32(id) modulo FOLDS.
@@ -349,11 +350,12 @@ def score_texts(
     every bit has probability one half.  An empty table gives no rows.
     """
     context = docs.sparkSession.sparkContext
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_key"),
+    given = docs.select("doc_id", F.col(text).alias("text"))
+    rows = with_row_key(given, "texts").select(
+        "row_key",
         F.col("doc_id").cast("long").alias("doc_id"),
         (id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
-        text_bytes(text).alias("content"),
+        text_bytes("text").alias("content"),
     )
     counts = stored(count_keys(rows.withColumn("learn", ~F.col("held_out"))), "counts")
     words = counts.filter(_is(WORD) & (F.col("learned") > 0))

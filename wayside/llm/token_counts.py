@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayside.llm.common import map_batches, stored
+from wayside.llm.common import map_batches, stored, with_row_key
 from wayside.llm.pretokens import PreTokenizer, is_plain, pretokenizer
 
 # Pre-tokens in the broadcast table: some 20 bytes each, whatever the corpus.
@@ -195,11 +195,8 @@ def count_tokens(
     step = frequent_step(pieces, frequent)
     head = pieces.filter(_step() >= step).select("pretoken", "pieces").toArrow()
     known = docs.sparkSession.sparkContext.broadcast(_serialized(head))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_key"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col(text).alias("text"),
-    )
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = with_row_key(given, "texts").select("row_key", "doc_id", "text")
     parts = map_batches(
         rows,
         _documents_task(path, known),
