@@ -119,7 +119,37 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op4_suffix_dedup")
+# Strings are compared by the MD5 of their hexadecimal digits; a repeat is one that is not
+# the first of its kind, and repeats that touch make one span.
+_REPEATS_SQL = """
+    with d as (
+        select doc_id, hex(encode(coalesce("text", ''))) as h, strlen(coalesce("text", '')) as n from documents
+    ), strings as (
+        select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as s from d, unnest(range(0, n - 99)) as t(i)
+    ), repeats as (
+        select doc_id, i from strings qualify row_number() over (partition by s order by doc_id, i) > 1
+    ), marked as (
+        select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > 100, true) as new
+        from repeats
+    ), numbered as (
+        select doc_id, i, count(*) filter (new) over (partition by doc_id order by i) as span from marked
+    ), spans as (
+        select doc_id, span, min(i) as a, max(i) + 100 as b from numbered group by doc_id, span
+    ), gaps as (
+        select doc_id, span, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as after from spans
+    ), cut as (
+        select g.doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
+               string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' order by a) as kept
+        from gaps g join d on g.doc_id = d.doc_id group by g.doc_id
+    )
+    select d.doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+           coalesce(n_spans, 0) as n_spans,
+           sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+    from d left join cut on d.doc_id = cut.doc_id
+"""
+
+
+@query("op4_suffix_dedup", _REPEATS_SQL)
 def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -185,7 +215,105 @@ def chat_windows_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.window_digests(windows)
 
 
-@query("op11_simhash_near_dedup")
+# XXH64 with seed 42, byte by byte as published; all in whole numbers modulo 2**64.
+_P1, _P2, _P3, _P4, _P5 = (
+    "11400714785074694791::uhugeint",
+    "14029467366897019727::uhugeint",
+    "1609587929392839161::uhugeint",
+    "9650029242287828579::uhugeint",
+    "2870177450012600261::uhugeint",
+)
+_WRAP = "18446744073709551616::uhugeint"
+
+
+def _rotated(value: str, bits: int) -> str:
+    return f"(({value}) * {1 << bits}::uhugeint % {_WRAP} + ({value}) // {1 << (64 - bits)}::uhugeint)"
+
+
+def _round(value: str, lane: str) -> str:
+    return f"({_rotated(f'({value} + {lane} * {_P2}) % {_WRAP}', 31)} * {_P1} % {_WRAP})"
+
+
+def _little_endian(at: str, size: int) -> str:
+    digits = " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size)))
+    return f"cast(cast('0x' || {digits} as ubigint) as uhugeint)"
+
+
+def _folded(first: str, values: str, step: str) -> str:
+    return f"list_reduce(list_prepend({first}, {values}), lambda h, k: {step})"
+
+
+def _stripes(start: str, column: int) -> str:
+    lanes = f"list_transform(range(0, n // 32), lambda i: {_little_endian(f'32 * i + {8 * column}', 8)})"
+    return _folded(f"cast({start} as uhugeint) % {_WRAP}", lanes, _round("h", "k"))
+
+
+def _merge(value: str, lane: str) -> str:
+    return f"(xor({value}, {_round('0::uhugeint', lane)}) * {_P1} + {_P4}) % {_WRAP}"
+
+
+_SIMHASH_SQL = rf"""
+    with recursive d as (
+        select row_number() over () as r, doc_id, regexp_extract_all(
+            translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') as w
+        from documents
+    ), shingles as (
+        select r, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') as s, count(*) as times
+        from d, unnest(range(1, len(w) - least(3, len(w)) + 2)) as t(i)
+        where len(w) > 0 group by all
+    ), spelled as (
+        select s, hex(encode(s)) as x, strlen(s) as n from (select distinct s from shingles)
+    ), begun as (
+        select *, {_stripes(f'42 + {_P1} + {_P2}', 0)} as v1, {_stripes(f'42 + {_P2}', 1)} as v2,
+               {_stripes('42', 2)} as v3, {_stripes(f'42 + {_WRAP} - {_P1}', 3)} as v4
+        from spelled
+    ), merged as (
+        select s, x, n, ({_rotated('v1', 1)} + {_rotated('v2', 7)} + {_rotated('v3', 12)} + {_rotated('v4', 18)}) % {_WRAP} as m0,
+               {_merge('m0', 'v1')} as m1, {_merge('m1', 'v2')} as m2, {_merge('m2', 'v3')} as m3,
+               ((case when n < 32 then 42 + {_P5} else {_merge('m3', 'v4')} end) + n::uhugeint) % {_WRAP} as h
+        from begun
+    ), eights as (
+        select s, x, n, {_folded('h', f"list_transform(range(n // 32 * 32, n // 8 * 8, 8), lambda i: {_little_endian('i', 8)})",
+            f"({_rotated('xor(h, ' + _round('0::uhugeint', 'k') + ')', 27)} * {_P1} + {_P4}) % {_WRAP}")} as h
+        from merged
+    ), fours as (
+        select s, x, n, case when n % 8 < 4 then h else
+               ({_rotated(f"xor(h, {_little_endian('n // 8 * 8', 4)} * {_P1} % {_WRAP})", 23)} * {_P2} + {_P3}) % {_WRAP} end as h
+        from eights
+    ), ones as (
+        select s, {_folded('h', f"list_transform(range(n // 4 * 4, n), lambda i: {_little_endian('i', 1)})",
+            f"{_rotated(f'xor(h, k * {_P5} % {_WRAP})', 11)} * {_P1} % {_WRAP}")} as h
+        from fours
+    ), hashed as (
+        select s, xor(h, h // {1 << 33}::uhugeint) * {_P2} % {_WRAP} as a,
+               xor(a, a // {1 << 29}::uhugeint) * {_P3} % {_WRAP} as b,
+               cast(xor(b, b // {1 << 32}::uhugeint) as ubigint) as hash
+        from ones
+    ), bits as (
+        select r, bit from shingles join hashed using (s), unnest(range(0, 64)) as t(bit)
+        group by r, bit having 2 * sum(times * (hash >> bit::ubigint & 1)) > sum(times)
+    ), prints as (
+        select d.r, d.doc_id, coalesce(sum(1::ubigint << bit::ubigint), 0)::ubigint as print
+        from d left join bits on bits.r = d.r group by d.r, d.doc_id
+    ), known as (
+        select distinct print from prints
+    ), links as (
+        select a.print as x, b.print as y from known a join known b
+        on a.print <> b.print and bit_count(xor(a.print, b.print)) <= 2
+    ), reach(x, y) as (
+        select print, print from known
+        union
+        select reach.x, links.y from reach join links on reach.y = links.x
+    ), roots as (
+        select x as print, min(doc_id) as component_id from reach join prints on prints.print = y group by x
+    )
+    select doc_id, format('{{:016x}}', print) as fingerprint, component_id
+    from prints join roots using (print)
+"""
+
+
+@query("op11_simhash_near_dedup", _SIMHASH_SQL)
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_balls.link_fingerprints(table(spark, sf_dir, "documents"))
 
