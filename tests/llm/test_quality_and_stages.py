@@ -16,7 +16,7 @@ from tests.llm.test_text_operators import brute_quotations, sequences_of
 
 import corpus_pipeline
 from wayside.llm import compression_quality as quality
-from wayside.llm import packing
+from wayside.llm import license_scan, packing
 
 # ------------------------------------------------------------------ the classifier
 
@@ -167,3 +167,45 @@ def test_empty_labels_and_items(llm, make_docs, folder):
     assert corpus_pipeline.run(llm, sf_dir).count() == 0  # one half is below the threshold
     docs = llm.read.parquet(sf_dir + "/documents.parquet")
     assert corpus_pipeline.STAGES[3][1](llm, docs, sf_dir).count() == 2
+
+
+# ------------------------------------------------------------------------ licences
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0] * (len(b) + 1)
+        for n, y in enumerate(b, 1):
+            row[n] = before[n - 1] + 1 if x == y else max(row[n - 1], before[n])
+    return row[-1]
+
+
+def test_places_and_coverage_of_edited_notices(llm, make_docs, words):
+    """Notices between words that no template has: the place is where the notice stands,
+    the words aligned are a longest common subsequence by the plain table."""
+    names = ["MIT", "BSD-3-Clause", "GPL-3.0", "MPL-2.0", "Unlicense"]
+    templates = {n: license_scan.TEMPLATES[n] for n in names if n in license_scan.TEMPLATES}
+    rows, want = [], {}
+    for number, (name, text) in enumerate(templates.items()):
+        whole = license_scan.words_of(text.encode())
+        for variant in range(4):
+            chosen = random.Random(10 * number + variant)
+            kept = [w for w in whole if variant == 0 or chosen.random() > 0.04 * variant]
+            edited = []
+            for w in kept:
+                edited.append(w.decode())
+                if variant > 1 and chosen.random() < 0.05:
+                    edited += words(f"zz{variant}", 1 + chosen.randrange(3))
+            before, after = words("front", 7 * variant), words("back", 40)
+            doc_id = 10 * number + variant
+            rows.append((doc_id, " ".join([*before, *edited, *after])))
+            got = longest_common([w.encode() for w in edited], whole)
+            if 100 * got >= license_scan.MIN_PERCENT * len(whole):
+                own = [n for n, w in enumerate(edited) if w.encode() in set(whole)]
+                place = (len(before) + own[0], len(before) + own[-1] + 1)
+                want[doc_id, name] = (*place, got, got / len(whole))
+    found = license_scan.scan_licenses(make_docs(rows), templates).collect()
+    own = {(r.doc_id, r.license): tuple(r)[2:] for r in found if (r.doc_id, r.license) in want}
+    assert own == want and len(want) >= 12
+    assert {r.license for r in found} == set(templates)
