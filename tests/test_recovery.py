@@ -322,6 +322,17 @@ def test_a_small_batch_reads_its_own_files_only(spark, make_passages, folder):
     assert "file_name" in plan.toString()
 
 
+def test_counts_of_empty_batches(spark, make_passages, folder):
+    table, counts = folder + "/passages", folder + "/counts"
+    store_new(make_passages({}).limit(0), table)
+    assert update_counts(spark, table, counts) and read_counts(spark, counts).count() == 0
+    store_new(make_passages({}).limit(0), table)
+    assert update_counts(spark, table, counts)
+    store_new(make_passages({}), table)
+    assert update_counts(spark, table, counts)
+    same_counts(spark, table, counts)
+
+
 def test_a_killed_count_is_done_again(spark, make_passages, folder, monkeypatch):
     table, counts = folder + "/passages", folder + "/counts"
     store_new(spread(make_passages, 0, 9), table)
