@@ -30,14 +30,20 @@ GROUP_DEPTH = 3
 NATS = np.log(10.0)
 
 
-def gram_keys(text: bytes) -> np.ndarray:
-    """The key of every byte and of the end; contexts start with zero bytes."""
-    padded = np.frombuffer(bytes(DEPTH) + text + bytes([END]), np.uint8)
-    count = len(text) + 1
-    keys = np.zeros(count, np.int64)
-    for back in range(1, DEPTH + 1):
-        keys |= padded[DEPTH - back :][:count].astype(np.int64) << (8 * (DEPTH + 1 - back))
-    return keys | padded[DEPTH:]
+def gram_keys(text: bytes, before: bytes = b"", last: bool = True) -> np.ndarray:
+    """The key of every byte, and of the end if the text ends here.
+
+    ``before`` is what stands before ``text``; contexts start with zero bytes.
+    """
+    before = before[-DEPTH:]
+    padded = bytes(8 - len(before)) + before + text + bytes([END] * last)
+    count = len(text) + last
+    # Eight bytes up to each position, read as one number: the latest is the highest.
+    latest = np.ndarray(count, "<u8", padded, strides=(1,))
+    keys = latest >> np.uint64(8 * (8 - DEPTH))
+    keys <<= np.uint64(8)
+    keys |= np.frombuffer(padded, np.uint8)[8 : 8 + count]
+    return keys.view(np.int64)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -54,10 +60,24 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series
 
 
+# Log gamma at n + 1/2 and n + 1 for small counts n, of which nearly all nodes are.
+SMALL = 1 << 12
+LOG_HALVES = log_gamma(np.arange(SMALL) + 0.5)
+LOG_WHOLES = log_gamma(np.arange(SMALL) + 1.0)
+
+
+def _of_counts(table: np.ndarray, counts: np.ndarray, shift: float) -> np.ndarray:
+    large = np.flatnonzero(counts >= SMALL)
+    values = table[np.minimum(counts, SMALL - 1).astype(np.int64)]
+    values[large] = log_gamma(counts[large] + shift)
+    return values
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the KT probability of any sequence with these counts."""
+    """Log of the KT probability of any sequence with these counts, whole numbers."""
     start = np.log(np.pi)  # twice log gamma(1/2)
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - start
+    halves = _of_counts(LOG_HALVES, zeros, 0.5) + _of_counts(LOG_HALVES, ones, 0.5)
+    return halves - _of_counts(LOG_WHOLES, zeros + ones, 1.0) - start
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:

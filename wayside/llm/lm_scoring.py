@@ -14,18 +14,23 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayside.llm import ctw
 from wayside.llm.common import (
     ASCII_LOWER_BYTES,
+    BLOCK_BYTES,
+    SPACE_WORD,
     id_remainder,
     map_batches,
     stored,
+    text_blocks,
     text_bytes,
     with_row_key,
 )
@@ -37,10 +42,16 @@ FOLDS, HELD_OUT = 7, 2
 FREQUENT_GRAMS = 1 << 19
 FREQUENT_WORDS = 400_000
 
-# Bytes of text after which a task hands on the grams it has counted, and distinct
-# words after which it hands on these.
-HELD_BYTES = 12 << 20
-HELD_WORDS = 400_000
+# Bytes of text after which a task sums up its grams and words, and sums after which it
+# hands them on.
+HELD_BYTES = 8 << 20
+HELD_KEYS = 1_500_000
+
+# Bytes and pieces of text that are scored at once; a piece's number and a gram's key
+# share 63 bits.
+SCORED_BYTES = 1 << 20
+SCORED_PIECES = 10_000
+KEY_BITS = 8 * (ctw.DEPTH + 1)
 
 # Keys that a task turns into trees at once, if the groups end there.
 TREE_KEYS = 500_000
@@ -59,15 +70,39 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(ASCII_LOWER_BYTES).split()
 
 
-def gram_names(keys: np.ndarray) -> list[bytes]:
+def segments(text: bytes) -> Iterator[tuple[bytes, bytes, bytes, bool]]:
+    """A text by pieces of bounded size: (bytes before, piece, words, is it the last).
+
+    ``words`` are whole words, each with one of the pieces.
+    """
+    at = 0
+    for block in text_blocks(text, SPACE_WORD):
+        for start in range(at, max(at + len(block), 1), 2 * BLOCK_BYTES):
+            end = min(start + 2 * BLOCK_BYTES, at + len(block))
+            words = block if start == at else b""
+            yield text[max(start - ctw.DEPTH, 0) : start], text[start:end], words, end == len(text)
+        at += len(block)
+
+
+def gram_names(keys: np.ndarray) -> pa.Array:
     """Six big-endian bytes: in order, keys with one context stand together."""
-    raw = keys.astype(">u8").tobytes()
-    return [GRAM + raw[at + 2 : at + 8] for at in range(0, len(raw), 8)]
+    raw = np.empty((len(keys), 1 + ctw.DEPTH + 1), np.uint8)
+    raw[:, :1] = np.frombuffer(GRAM, np.uint8)
+    raw[:, 1:] = keys.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    ends = np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(raw)]
+    )
 
 
-def gram_numbers(names: list[bytes]) -> np.ndarray:
-    raw = b"".join([b"\0\0" + name[1:] for name in names])
-    return np.frombuffer(raw, ">u8").astype(np.int64)
+def gram_numbers(names: pa.Array) -> np.ndarray:
+    if not len(names):
+        return np.zeros(0, np.int64)
+    _, ends, raw = names.buffers()
+    ends = np.frombuffer(ends, np.int32)[names.offset : names.offset + len(names) + 1]
+    padded = np.zeros((len(names), 8), np.uint8)
+    padded[:, 2:] = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]].reshape(len(names), -1)[:, 1:]
+    return padded.view(">i8").ravel().astype(np.int64)
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,58 +112,79 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[starts], np.diff(np.r_[starts, len(values)])
 
 
+class _Sums:
+    """Counts by key, handed on when too many different keys are held."""
+
+    def __init__(self, names) -> None:
+        self.names, self.held, self.rows = names, [], 0
+
+    def add(self, keys, total: np.ndarray, learned: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(pa.table([pa.array(keys), total, learned], ["key", "total", "learned"]))
+        self.rows += len(total)
+        if self.rows >= HELD_KEYS:
+            self._merge()
+            if self.rows >= HELD_KEYS // 2:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        groups = pa.concat_tables(self.held).group_by("key", use_threads=False)
+        sums = groups.aggregate([("total", "sum"), ("learned", "sum")])
+        self.held = [sums.rename_columns(["key", "total", "learned"])]
+        self.rows = sums.num_rows
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        self._merge()
+        for batch in self.held[0].to_batches(max_chunksize=50_000):
+            yield pa.RecordBatch.from_arrays(
+                [self.names(batch.column(0)), *batch.columns[1:]], batch.schema.names
+            )
+        self.held, self.rows = [], 0
+
+
 class _Counted:
     """Grams and words of the texts a task has seen, learned ones apart."""
 
     def __init__(self) -> None:
+        self.gram_sums = _Sums(lambda keys: gram_names(keys.to_numpy()))
+        self.word_sums = _Sums(lambda words: pc.binary_join_element_wise(WORD, words, b""))
+        self._clear()
+
+    def _clear(self) -> None:
         self.grams: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        self.words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        self.words: dict[bool, list[pa.Array]] = {True: [], False: []}
         self.bytes = 0
 
-    def add(self, text: bytes, learn: bool) -> None:
-        self.grams[learn].append(ctw.gram_keys(text))
-        self.words[learn].update(words_of(text))
-        self.words[learn][END_WORD] += 1
-        self.bytes += len(text) + 1
-
-    def gram_rows(self) -> Iterator[pa.RecordBatch]:
-        parts = [runs(np.concatenate(self.grams[k])) if self.grams[k] else None for k in (True, False)]
-        self.grams, self.bytes = {True: [], False: []}, 0
-        keys = [p[0] for p in parts if p]
-        if not keys:
-            return
-        total = [p[1] for p in parts if p]
-        learned = [p[1] * flag for p, flag in zip(parts, (1, 0)) if p]
-        names, total, learned = ctw.summed(*map(np.concatenate, (keys, total, learned)))
-        yield from _rows(gram_names(names), total, learned)
+    def add(self, before: bytes, piece: bytes, words: bytes, last: bool, learn: bool) -> None:
+        self.grams[learn].append(ctw.gram_keys(piece, before, last))
+        self.words[learn].append(pa.array([*words_of(words), *[END_WORD] * last], pa.binary()))
+        self.bytes += len(piece) + 1
 
-    def word_rows(self) -> Iterator[pa.RecordBatch]:
-        for learn, counter in self.words.items():
-            counts = np.fromiter(counter.values(), np.int64, len(counter))
-            yield from _rows([WORD + w for w in counter], counts, counts * learn)
-        self.words = {True: Counter(), False: Counter()}
+    def sum_up(self) -> Iterator[pa.RecordBatch]:
+        for learn in (True, False):
+            if self.grams[learn]:
+                keys, counts = runs(np.concatenate(self.grams[learn]))
+                yield from self.gram_sums.add(keys, counts, counts * learn)
+                words, counts = pa.chunked_array(self.words[learn]).value_counts().flatten()
+                yield from self.word_sums.add(words, counts.to_numpy(), counts.to_numpy() * learn)
+        self._clear()
 
-
-def _rows(names: list[bytes], total: np.ndarray, learned: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(names), 50_000):
-        part = slice(at, at + 50_000)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[part], pa.binary()), pa.array(total[part]), pa.array(learned[part])],
-            ["key", "total", "learned"],
-        )
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        yield from self.sum_up()
+        yield from self.gram_sums.flush()
+        yield from self.word_sums.flush()
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counted = _Counted()
     for batch in batches:
         for text, learn in zip(batch.column(0), batch.column(1).to_pylist()):
-            counted.add(text.as_py(), learn)
-            if counted.bytes >= HELD_BYTES:
-                yield from counted.gram_rows()
-            if sum(map(len, counted.words.values())) >= HELD_WORDS:
-                yield from counted.word_rows()
-    yield from counted.gram_rows()
-    yield from counted.word_rows()
+            for piece in segments(text.as_py()):
+                counted.add(*piece, learn)
+                if counted.bytes >= HELD_BYTES:
+                    yield from counted.sum_up()
+    yield from counted.flush()
 
 
 def count_keys(docs: DataFrame) -> DataFrame:
@@ -149,7 +205,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     """Keys and counts in order, cut where the three latest context bytes change."""
     keys, counts, size = [], [], 0
     for batch in batches:
-        keys.append(gram_numbers(batch.column("key").to_pylist()))
+        keys.append(gram_numbers(batch.column("key")))
         counts.append(batch.column("learned").to_numpy(zero_copy_only=False))
         size += len(keys[-1])
         if size >= TREE_KEYS:
@@ -185,7 +241,7 @@ def _predict_task(top):
             for at in range(0, len(keys), 50_000):
                 part = keys[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram_names(part), pa.binary()), pa.array(ctw.predict(levels, part))],
+                    [gram_names(part), pa.array(ctw.predict(levels, part))],
                     ["key", "value"],
                 )
 
@@ -260,23 +316,90 @@ PARTS = (
 def _score_task(frequent, total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_keys, gram_scores, words, counts = frequent.value
-        grams = Lookup(gram_keys, gram_scores)
-        scale = np.log10(total + distinct + 1)
-        known = dict(zip(words, (np.log10(counts + 1) - scale).tolist()))
+        scores = np.log10(counts + 1) - np.log10(total + distinct + 1)
+        scorer = _Scorer(Lookup(gram_keys, gram_scores), words, scores)
         for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                rows = []
-                for key, doc_id, held_out, text in zip(
-                    *(c.to_pylist() for c in batch.slice(part, 500).columns)
-                ):
-                    rows.extend(_score_text(grams, known, key, doc_id, held_out, text))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(zip(*rows), _PART_KINDS)], _PART_NAMES
-                )
+            for key, doc_id, held_out, text in zip(*batch.columns):
+                row = (key.as_py(), doc_id.as_py(), held_out.as_py())
+                for piece in segments(text.as_py()):
+                    scorer.add(row, *piece)
+                    if scorer.bytes >= SCORED_BYTES or len(scorer.rows) >= SCORED_PIECES:
+                        yield from scorer.parts()
+        yield from scorer.parts()
 
     return run
 
 
+class _Scorer:
+    """Pieces of texts, and what is known of them without the rare keys."""
+
+    def __init__(self, grams: Lookup, words: list[bytes], scores: np.ndarray) -> None:
+        self.grams, self.known = grams, dict(zip(words, range(len(words))))
+        # The last one is that of a word that is not there.
+        self.scores = np.append(scores, 0.0)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows, self.keys, self.words, self.bytes = [], [], [], 0
+
+    def add(self, row: tuple, before: bytes, piece: bytes, words: bytes, last: bool) -> None:
+        self.rows.append((*row, len(piece)))
+        self.keys.append(ctw.gram_keys(piece, before, last))
+        self.words.append([*words_of(words), *[END_WORD] * last])
+        self.bytes += len(piece) + 1
+
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        """A row for each piece, and one for each rare key of a piece."""
+        if not self.rows:
+            return
+        row_key, doc_id, held_out, size = zip(*self.rows)
+        count = len(self.rows)
+        lengths = [len(k) for k in self.keys]
+        keys = np.concatenate(self.keys)
+        values, found = self.grams.find(keys)
+        score = np.add.reduceat(values, np.cumsum([0, *lengths[:-1]]))
+        left = np.flatnonzero(~found)
+        # A rare gram's number with its piece's above it.
+        rare = (np.repeat(np.arange(count), lengths)[left] << KEY_BITS) | keys[left]
+        rare, gram_times = runs(rare)
+
+        words = list(chain.from_iterable(self.words))
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        owner = np.repeat(np.arange(count), [len(w) for w in self.words])
+        tokens = np.bincount(owner, minlength=count)
+        n_known = np.bincount(owner[place >= 0], minlength=count)
+        base = np.bincount(owner, self.scores[place], minlength=count)
+        left = np.flatnonzero(place < 0)
+        rare_words = Counter(zip(owner[left].tolist(), (words[i] for i in left)))
+
+        # A piece's own row has a key of its own, which is nobody's.
+        own = [b"-%d" % key for key in row_key]
+        columns = [row_key, doc_id, held_out, size, tokens, n_known, base, score, own, np.zeros(count, int)]
+        yield _part(columns)
+
+        owners = np.r_[rare >> KEY_BITS, np.fromiter((o for o, _ in rare_words), np.int64, len(rare_words))]
+        names = pa.concat_arrays(
+            [
+                gram_names(rare & ((1 << KEY_BITS) - 1)),
+                pa.array([WORD + word for _, word in rare_words], pa.binary()),
+            ]
+        )
+        times = np.r_[gram_times, np.fromiter(rare_words.values(), np.int64, len(rare_words))]
+        owners = np.array(row_key, np.int64)[owners]
+        for at in range(0, len(owners), 50_000):
+            part = slice(at, at + 50_000)
+            n = len(owners[part])
+            none = [np.zeros(n, int)] * 3 + [np.zeros(n)] * 2
+            yield _part([owners[part], [None] * n, [None] * n, *none, names[part], times[part]])
+        self._clear()
+
+
+def _part(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kind) for c, kind in zip(columns, _PART_KINDS)], _PART_NAMES
+    )
+
+
 _PART_KINDS = [
     pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(),
     pa.float64(), pa.float64(), pa.binary(), pa.int64(),
@@ -286,33 +409,6 @@ _PART_NAMES = [
 ]
 
 
-def _score_text(grams, known, key, doc_id, held_out, text):
-    """Rows of a text: the first holds what is known, each rare key follows."""
-    numbers = ctw.gram_keys(text)
-    values, found = grams.find(numbers)
-    words = Counter(words_of(text))
-    words[END_WORD] += 1
-    tokens = sum(words.values())
-    base, n_known, rare = 0.0, 0, []
-    for word, n in words.items():
-        value = known.get(word)
-        if value is None:
-            rare.append((WORD + word, n))
-        else:
-            base += n * value
-            n_known += n
-    missing = numbers[~found]
-    if len(missing):
-        names, times = runs(missing)
-        rare.extend(zip(gram_names(names), times.tolist()))
-    first = (key, doc_id, held_out, len(text), tokens, n_known, base, float(values.sum()))
-    # Without rare keys the row has a key of its own, which is nobody's.
-    rare = rare or [(b"-%d" % key, 0)]
-    yield (*first, *rare[0])
-    for name, n in rare[1:]:
-        yield (key, None, None, 0, 0, 0, 0.0, 0.0, name, n)
-
-
 def _is(kind: bytes):
     return F.substring("key", 1, 1) == F.lit(kind)
 
@@ -370,7 +466,7 @@ def score_texts(
     top_words = words.filter(_step("learned") >= word_step).select("key", "learned").toArrow()
     frequent = context.broadcast(
         (
-            gram_numbers(top_grams.column("key").to_pylist()),
+            gram_numbers(pa.concat_arrays([pa.array([], pa.binary()), *top_grams.column("key").chunks])),
             top_grams.column("value").to_numpy(),
             [w[1:] for w in top_words.column("key").to_pylist()],
             top_words.column("learned").to_numpy(),
