@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from wayside.operators.dedup import first_of_key
 from wayside.operators.filters import in_local_days, in_utc_days, newest
+from wayside.operators.sizing import fits_broadcast
 from wayside.operators.taxi import areas_of_names, taxi_hour
 from wayside.operators.traffic import heavy_hour, passage_hour
 from wayside.sources.passages import append_passages, read_passages
@@ -52,6 +55,16 @@ def test_camera_join(spark, make_passages, make_cameras, folder):
     assert large.count("HashAggregate") >= 4
 
 
+def test_a_broadcast_side_is_bounded_in_rows_and_bytes(spark):
+    wide = spark.range(10).select("id", F.repeat(F.lit("é"), 1_000).alias("t"), F.array("id").alias("a.b"))
+    # 2,000 bytes of text, 4 of the number and the list, 32 of the row and 24 of values
+    assert fits_broadcast(wide, max_bytes=20_600) and not fits_broadcast(wide, max_bytes=20_599)
+    assert fits_broadcast(wide, 10) and not fits_broadcast(wide, 9)
+    nulls = wide.select(F.lit(None).cast("string").alias("t"))
+    assert fits_broadcast(nulls, max_bytes=400) and not fits_broadcast(nulls, max_bytes=399)
+    assert fits_broadcast(wide.limit(0), 0, 0)
+
+
 def test_no_pairwise_join(spark, make_passages, make_areas):
     names = make_passages({}).select("camera_naam").distinct()
     text = plan(areas_of_names(names, make_areas(("1", "t", "g", "ANPR_0"))))

@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayside.functions.keys import salt
 
-# A lookup row is a few hundred bytes; this many fit in every executor.
+# What every executor and the driver can hold.
 BROADCAST_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 64 << 20
+
+# Bytes of a row and of each of its values, besides what the values say as text.
+ROW_BYTES, VALUE_BYTES = 32, 8
 
 # Ways a hot key is split when the lookup is too large to broadcast.
 SALTS = 32
 
 
-def fits_broadcast(lookup: DataFrame, max_rows: int | None = None) -> bool:
-    """Counts the rows that are there; a stored table answers from its file
-    footers."""
-    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    return lookup.count() <= bound
+def _row_bytes(lookup: DataFrame) -> Column:
+    texts = [F.octet_length(F.col(f"`{c}`").cast("string")) for c in lookup.columns]
+    return sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0).cast("long"))
+
+
+def fits_broadcast(
+    lookup: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_MAX_BYTES
+) -> bool:
+    """Counts the rows and the bytes that are there; neither may pass its bound."""
+    found = lookup.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_row_bytes(lookup)), F.lit(0)).alias("bytes")
+    ).first()
+    held = found["bytes"] + found["rows"] * (ROW_BYTES + VALUE_BYTES * len(lookup.columns))
+    return found["rows"] <= (BROADCAST_MAX_ROWS if max_rows is None else max_rows) and held <= max_bytes
 
 
 def lookup_join(
