@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayside.operators.dedup import first_of_key
 from wayside.operators.filters import in_local_days, in_utc_days, newest
-from wayside.operators.sizing import fits_broadcast
+from wayside.operators.sizing import fits_broadcast, lookup_join
 from wayside.operators.taxi import areas_of_names, taxi_hour
 from wayside.operators.traffic import heavy_hour, passage_hour
 from wayside.sources.passages import append_passages, read_passages
@@ -55,6 +55,17 @@ def test_camera_join(spark, make_passages, make_cameras, folder):
     assert large.count("HashAggregate") >= 4
 
 
+def test_a_large_lookup_in_a_small_file_is_not_broadcast(spark, folder):
+    """Spark would go by the size of the file, before the copies for the buckets."""
+    spark.range(10).select("id", (F.col("id") * 2).alias("v")).write.parquet(f"{folder}/lookup")
+    lookup = spark.read.parquet(f"{folder}/lookup")
+    for how, rows in (("inner", 10), ("left", 20)):
+        joined = lookup_join(spark.range(20), lookup, ["id"], how, ["id"], 0)
+        text = plan(joined)
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+        assert joined.count() == rows
+
+
 def test_a_broadcast_side_is_bounded_in_rows_and_bytes(spark):
     wide = spark.range(10).select("id", F.repeat(F.lit("é"), 1_000).alias("t"), F.array("id").alias("a.b"))
     # 2,000 bytes of text, 4 of the number and the list, 32 of the row and 24 of values
