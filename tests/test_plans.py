@@ -12,7 +12,8 @@ from wayside.operators.filters import in_local_days, in_utc_days, newest
 from wayside.operators.sizing import fits_broadcast, lookup_join
 from wayside.operators.taxi import areas_of_names, taxi_hour
 from wayside.operators.traffic import heavy_hour, passage_hour
-from wayside.sources.passages import append_passages, read_passages
+from wayside.sources import passages as stored_passages
+from wayside.sources.passages import append_passages, read_passages, ready_to_add
 
 
 def plan(df) -> str:
@@ -113,3 +114,23 @@ def test_missing_days_prune_folders(spark, make_passages, folder):
     found = missing_days(table, date(2024, 3, 12), date(2024, 3, 20))
     assert found.count() == 5
     assert re.search(r"PartitionFilters: \[.*passage_date.*2024-03-12.*2024-03-20", plan(found))
+
+
+def test_a_large_batch_is_written_by_day_without_a_shuffle(spark, make_passages, folder, monkeypatch):
+    """Its tasks have many rows of each day; a small batch's rows are gathered by day."""
+    times = [{"passage_at": datetime(2024, 3, 10 + n % 2, n % 24), "volgnummer": n} for n in range(40)]
+    make_passages(*times).coalesce(1).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    assert "REBALANCE" in plan(ready_to_add(rows))
+    monkeypatch.setattr(stored_passages, "OWN_FILE_ROWS", 20)
+    assert "Exchange" not in plan(ready_to_add(rows))
+    assert "REBALANCE" in plan(ready_to_add(rows, gather=True))
+    monkeypatch.setattr(stored_passages, "OWN_TASK_ROWS", 39)
+    assert "REBALANCE" in plan(ready_to_add(rows))
+    monkeypatch.setattr(stored_passages, "OWN_TASK_ROWS", 40)
+    append_passages(rows, folder + "/t")
+    table = read_passages(spark, folder + "/t")
+    assert sorted((r.volgnummer, r.passage_date.day) for r in table.collect()) == [
+        (n, 10 + n % 2) for n in range(40)
+    ]
+    assert "REBALANCE" in plan(ready_to_add(rows.filter("volgnummer < 0")))
