@@ -151,3 +151,23 @@ def test_a_large_batch_is_written_by_day_without_a_shuffle(spark, make_passages,
         (n, 10 + n % 2) for n in range(40)
     ]
     assert "REBALANCE" in plan(ready_to_add(rows.filter("volgnummer < 0")))
+
+
+def test_large_files_are_read_in_smaller_parts_while_they_are_added(
+    spark, make_passages, folder, monkeypatch
+):
+    """No task sorts more rows than it may, and none is shuffled; the setting comes back."""
+    times = [{"passage_at": datetime(2024, 3, 10, n % 24), "volgnummer": n} for n in range(160)]
+    make_passages(*times).repartition(16).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    setting = "spark.sql.files.maxPartitionBytes"
+    given = spark.conf.get(setting)
+    monkeypatch.setattr(stored_passages, "OWN_FILE_ROWS", 1)
+    with stored_passages.adding(rows) as whole:
+        parts = whole.select(F.spark_partition_id()).distinct().count()
+    monkeypatch.setattr(stored_passages, "OWN_SORT_ROWS", 1)
+    with stored_passages.adding(rows) as smaller:
+        assert "Exchange" not in plan(smaller)
+        assert smaller.select(F.spark_partition_id()).distinct().count() == 16 > parts
+        assert smaller.count() == 160
+    assert spark.conf.get(setting) == given

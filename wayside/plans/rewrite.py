@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wayside.functions.privacy import mask
 from wayside.schemas import PASSAGE_DAY
 from wayside.sources.batches import batch_number
+from wayside.sources.files import PACKED
 from wayside.sources.generations import current_folder, fresh_folder, retire, switch
 from wayside.sources.lease import only_writer
 from wayside.sources.passages import laid_out, read_passages
@@ -60,7 +61,7 @@ class Rewriting:
                 raise RuntimeError(f"{self.table} was replaced while it was rewritten")
             later = read_passages(self.spark, self.table).filter(batch_number() > self.through)
             changed = self.change(later)
-            changed.write.mode("append").partitionBy(PASSAGE_DAY).parquet(self.target)
+            changed.write.mode("append").option(*PACKED).partitionBy(PASSAGE_DAY).parquet(self.target)
             switch(lease, self.target)
             retire(lease)
 
@@ -79,7 +80,7 @@ def begin_rewrite(
         stored = read_passages(spark, table)
     target = fresh_folder(table)
     changed = change(stored.filter(batch_number() <= through))
-    changed.write.partitionBy(PASSAGE_DAY).parquet(target)
+    changed.write.option(*PACKED).partitionBy(PASSAGE_DAY).parquet(target)
     return Rewriting(spark, table, change, source, target, through)
 
 
