@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import date, datetime
 
+from wayside.operators import dedup
 from wayside.operators.dedup import (
     already_stored,
     first_of_key,
@@ -12,6 +13,7 @@ from wayside.operators.dedup import (
 )
 from wayside.operators.export import list_json
 from wayside.operators.ingest import accepted, read_validated, rejected, to_passages
+from wayside.plans import ingest as plan_of_ingest
 from wayside.plans.ingest import ingest_batch
 from wayside.sources.passages import append_passages, read_passages
 
@@ -312,3 +314,37 @@ def test_batch_can_be_repeated(spark, folder):
     assert counts() == [2, 1, 1]
     ingest_batch({"v1": lines(spark, FLAT)}, *paths, batch=1, now=NOW)
     assert counts() == [2, 1, 2]
+
+
+def _batches(spark, folder, name):
+    """A batch, and one with its keys again and others, each key twice."""
+    root = f"{folder}/{name}"
+    paths = [f"{root}/{part}" for part in ("passages", "invalid", "duplicates")]
+    copies = [{**FLAT, "volgnummer": n, "merk": m} for n in range(1, 5) for m in ("A", "B", "B")]
+    ingest_batch({"v1": lines(spark, *copies[:6])}, *paths, batch=0, now=NOW)
+    ingest_batch({"v1": lines(spark, *copies)}, *paths, batch=1, now=NOW)
+    stored = read_passages(spark, paths[0]).select("volgnummer", "merk")
+    repeats = spark.read.parquet(paths[2]).select("batch", "volgnummer", "merk", "copies")
+    return [sorted(map(tuple, df.collect())) for df in (stored, repeats)]
+
+
+def test_many_repeated_keys_of_a_batch_are_shuffled_once(spark, folder, monkeypatch):
+    few = _batches(spark, folder, "few")
+    assert [n for n, _ in few[0]] == [1, 2, 3, 4]
+
+    def many(passages, max_repeated=None):
+        return dedup.repeated_and_hot(passages, 0)
+
+    monkeypatch.setattr(plan_of_ingest, "repeated_and_hot", many)
+    monkeypatch.setattr(plan_of_ingest, "firsts_given", None)
+    monkeypatch.setattr(plan_of_ingest, "later_given", None)
+    assert _batches(spark, folder, "many") == few
+
+
+def test_a_new_batch_is_not_read_for_its_digest_alone(spark, folder, monkeypatch):
+    paths = [f"{folder}/{part}" for part in ("passages", "invalid", "duplicates")]
+    batch = {"v1": lines(spark, FLAT)}
+    with monkeypatch.context() as patch:
+        patch.setattr(plan_of_ingest, "content_digest", None)
+        assert ingest_batch(batch, *paths, batch=0, now=NOW)
+    assert not ingest_batch(batch, *paths, batch=0, now=NOW)
