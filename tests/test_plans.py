@@ -171,3 +171,13 @@ def test_large_files_are_read_in_smaller_parts_while_they_are_added(
         assert smaller.select(F.spark_partition_id()).distinct().count() == 16 > parts
         assert smaller.count() == 160
     assert spark.conf.get(setting) == given
+
+
+def test_equal_passages_are_one_before_they_meet_their_areas(spark, make_passages, make_areas):
+    from wayside.operators.taxi import with_areas
+
+    rows = make_passages(*[{"camera_naam": "cam-1"}] * 3).select("camera_naam")
+    areas = make_areas(*[{"id": str(n), "gebied": f"G{n}", "camera_id": "cam"} for n in range(2)])
+    assert with_areas(rows, areas).count() == 6
+    once = with_areas(rows, areas, 0, distinct=True)
+    assert sorted(r.gebied for r in once.collect()) == ["G0", "G1"]
