@@ -181,3 +181,19 @@ def test_equal_passages_are_one_before_they_meet_their_areas(spark, make_passage
     assert with_areas(rows, areas).count() == 6
     once = with_areas(rows, areas, 0, distinct=True)
     assert sorted(r.gebied for r in once.collect()) == ["G0", "G1"]
+
+
+def test_a_refresh_of_many_rows_is_written_without_gathering(
+    spark, make_passages, folder, monkeypatch
+):
+    from wayside.plans import refresh as plans
+
+    times = [{"passage_at": datetime(2024, 3, 10 + n % 3, n % 24)} for n in range(40)]
+    rows, span = make_passages(*times), (date(2024, 3, 13), date(2024, 3, 10))
+    plans.refresh("passage_hour", rows, {}, f"{folder}/gathered", *span)
+    monkeypatch.setattr(stored_passages, "OWN_FILE_ROWS", 0)
+    monkeypatch.setattr(plans, "laid_out", None)
+    done = plans.refresh("passage_hour", rows, {}, f"{folder}/own", *span)
+    assert len(done.written) == 3
+    tables = [plans.read_table(spark, f"{folder}/{n}", "passage_hour") for n in ("gathered", "own")]
+    assert sorted(map(str, tables[0].collect())) == sorted(map(str, tables[1].collect()))

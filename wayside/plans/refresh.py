@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wayside.operators import taxi, traffic
 from wayside.operators.filters import in_local_days, in_utc_days
 from wayside.schemas import AGGREGATES
+from wayside.sources import passages as stored
 from wayside.sources.passages import laid_out
 
 
@@ -82,19 +83,33 @@ def run_days(job: Job, today: date, from_day: date | None = None) -> tuple[date,
     return from_day or today - timedelta(days=job.trailing_days), today - timedelta(days=1)
 
 
+def _chosen(job: Job, passages: DataFrame, first: date, last: date) -> DataFrame:
+    return (in_local_days if job.local_days else in_utc_days)(passages, first, last)
+
+
 def aggregate_days(
     job: Job, passages: DataFrame, lookups: dict[str, DataFrame], first: date, last: date
 ) -> DataFrame:
-    chosen = (in_local_days if job.local_days else in_utc_days)(passages, first, last)
+    chosen = _chosen(job, passages, first, last)
     return job.build(chosen, *[lookups[name] for name in job.lookups])
 
 
+def has_many_rows(passages: DataFrame) -> bool:
+    """Whether the passages are so many that, were they all groups of their own, the tasks
+    of a shuffle would have enough of every day for a file.  Where they are fewer groups,
+    they also go to fewer tasks."""
+    tasks = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = passages.groupBy(F.to_date("passage_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    found = days.agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("rows")).first()
+    return found["days"] > 0 and found["rows"] >= stored.OWN_FILE_ROWS * found["days"] * tasks
+
+
 def _days_with_rows(
     spark: SparkSession, path: str, day_column: str, first: date, last: date
 ) -> set[date]:
     """Days that hold rows.  Only the folder names and file footers are read."""
-    stored = spark.read.schema(f"{day_column} date").parquet(path)
-    days = stored.filter(F.col(day_column).between(F.lit(first), F.lit(last))).distinct()
+    held = spark.read.schema(f"{day_column} date").parquet(path)
+    days = held.filter(F.col(day_column).between(F.lit(first), F.lit(last))).distinct()
     return {row[0] for row in days.collect()}
 
 
@@ -112,6 +127,7 @@ def replace_days(
     first: date,
     last: date,
     sort: tuple[str, ...] = (),
+    gather: bool = True,
 ) -> Refreshed:
     """Make the days first … last of the table equal to ``result``.
 
@@ -120,11 +136,13 @@ def replace_days(
     by one dynamic overwrite when the job commits.  That leaves days without rows as they were, so the ones that
     still hold old rows are overwritten with an empty file afterwards.  A run
     that failed half-way is repaired by running it again.
+
+    Without ``gather`` every task writes its own file of each day.
     """
     spark = result.sparkSession
     seen = Observation()
     # The rows of one day are already spread by their keys; several days are
-    # gathered first, so that each gets few files.
+    # gathered first, so that each gets few files, unless tasks have many rows of each.
     inside = F.col(day_column).between(F.lit(first), F.lit(last))
     watched = result.observe(
         seen,
@@ -133,7 +151,8 @@ def replace_days(
         F.count_if(~F.coalesce(inside, F.lit(False))).alias("stray"),
     )
     own = watched.filter(inside)
-    rows = laid_out(own, day_column, *sort) if first < last else own.sortWithinPartitions(
+    gathered = gather and first < last
+    rows = laid_out(own, day_column, *sort) if gathered else own.sortWithinPartitions(
         day_column, *sort
     )
     (
@@ -170,7 +189,8 @@ def refresh(
     declared = [(f.name, f.dataType) for f in AGGREGATES[name]]
     if [(f.name, f.dataType) for f in result.schema] != declared:
         raise TypeError(f"{name} does not have its declared columns")
-    return replace_days(result, path, job.day_column, first, last, job.sort)
+    gather = first < last and not has_many_rows(_chosen(job, passages, first, last))
+    return replace_days(result, path, job.day_column, first, last, job.sort, gather)
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
